@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses, secrets
+
 #: Operator 7. Ranks stand in the same order as the operator's; one slot holds up to 200,000 documents.
 OP7 = r"""
 WITH d AS (
@@ -28,4 +30,72 @@ taken AS (SELECT *, least(floor(u + rate * k) - floor(u + rate * (k - 1)), 2)::B
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM taken
 """
 
-SQL = {"op7_source_mixing": OP7}
+_TEMPLATES = ", ".join(f"({t}, '{label}', {sorted(set(text.split()))})" for t, (label, text) in enumerate(licenses.TEMPLATES))
+_PLACES = " OR ".join(
+    "(" + " AND ".join(f"w[i+{k + 1}] = '{word}'" for k, word in enumerate(p.split())) + f" AND '{label}' = x)" for p, label in licenses.PHRASES
+)
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Operator 2, by comparing every line with every template.
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, doc_id, text, {_WORDS.format("text")} AS w FROM d),
+places AS (
+  SELECT *, list_filter(range(0, len(w)), lambda i: {" OR ".join("(" + " AND ".join(f"w[i+{k + 1}] = '{word}'" for k, word in enumerate(p.split())) + ")" for p, _ in licenses.PHRASES)}) AS hit
+  FROM words),
+base AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_words, len(hit)::BIGINT AS n_base, list_min(hit)::BIGINT AS first_word, list_max(hit)::BIGINT AS last_word,
+         list_filter([{", ".join(f"'{label}'" for _, label in licenses.PHRASES)}], lambda x: len(list_filter(hit, lambda i: {_PLACES})) > 0) AS base
+  FROM places),
+blocks AS (SELECT r, {_WORDS.format("line")} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+t(t, label, ws) AS (VALUES {_TEMPLATES}),
+found AS (
+  SELECT r, label, len(list_intersect(list_distinct(b), ws)) / len(ws)::DOUBLE AS held FROM blocks, t
+  WHERE len(list_intersect(list_distinct(b), ws)) >= greatest(1, ceil(round({licenses.THRESHOLD} * len(ws), 9)))),
+more AS (SELECT r, list(DISTINCT label) AS labels, max(held) AS held FROM found GROUP BY r)
+SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(held, 0.0::DOUBLE) END AS score
+FROM base LEFT JOIN more USING (r)
+"""
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _least() -> str:
+    out = "NULL::DOUBLE"
+    for _, pattern, bits in reversed(secrets.CLASSES):
+        here = "NULL::DOUBLE" if bits is None else f"{bits}::DOUBLE"
+        out = f"CASE WHEN regexp_matches(m, {_quoted(pattern)}) THEN {here} ELSE {out} END" if pattern else here
+    return out
+
+
+_RULES = " UNION ALL ".join(
+    f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_split_to_array(text, {_quoted(p)}) AS gaps, regexp_extract_all(text, {_quoted(p)}) AS ms, regexp_extract_all(text, {_quoted(p)}, {g}) AS gs, {n} AS least FROM d WHERE regexp_matches(text, {_quoted(q)})"
+    for k, (kind, p, g, n, q) in enumerate([(*rule, secrets.QUICK[rule[0]]) for rule in secrets.RULES] + [("entropy", secrets.CANDIDATE, 0, secrets.WINDOW, secrets.CANDIDATE[:-1] + f"{{{secrets.WINDOW}}}")])
+)
+
+#: Operator 6: places from the text between matches, entropy of each window afresh.
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({_RULES}),
+one AS (SELECT r, k, kind, gaps, ms, gs, least, unnest(range(1, len(ms) + 1)) AS i FROM hits),
+long AS (SELECT * FROM one WHERE len(gs[i]) >= least),
+spans AS (
+  SELECT r, k, kind, ms[i] AS m, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: len(x))), 0))::BIGINT AS s FROM long),
+kept AS (
+  SELECT *, kind || ':' || s || ':' || (s + len(m)) AS text FROM spans
+  WHERE k < {len(secrets.RULES)} OR (NOT regexp_matches(m, {_quoted(secrets.ALLOW)}) AND
+    list_max(list_transform(range(1, len(m) - {secrets.WINDOW} + 2), lambda i: list_entropy(string_split(substr(m, i, {secrets.WINDOW}), '')))) >= {_least()})),
+per AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(text, ',' ORDER BY s, k) FILTER (k < {len(secrets.RULES)}) AS base, string_agg(text, ',' ORDER BY s, k) AS spans
+  FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)
+"""
+
+SQL = {"op2_license_scan": OP2, "op6_secret_scan": OP6, "op7_source_mixing": OP7}
