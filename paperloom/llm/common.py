@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows per Arrow batch handed to Python. Whole texts can be long, so a batch is
 #: kept to a few MB; Python then works on slices of one batch.
@@ -119,3 +120,8 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def typed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; so extra columns cannot clash."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with the fields of ``ddl`` after it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
