@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_ready(spark: SparkSession) -> None:
-    """Keep Arrow batches small: memory follows the batch, not the partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def arrow_ready(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Rows per Arrow batch from here on: few where texts are carried, more for rows of numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 class Scratch:

@@ -38,6 +38,12 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(count(k, kind) for k, kind in enumerate(KINDS)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import KEEP_TAIL, graded, score_quality, train_quality
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_license_scan": op2_license_scan,
     "op3_personal_data": op3_personal_data,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,

@@ -45,8 +45,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: Odd multipliers, one for each place in a shingle.
-_PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3)) % (1 << 64) | 1 for k in range(64)], np.uint64)
+#: Odd multipliers without linear relations, one for each place in a shingle.
+_PLACES = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(codes: np.ndarray, k: int) -> np.ndarray:
