@@ -86,6 +86,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity, train_toxicity
 
@@ -105,5 +111,6 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_near_vectors": op9_near_vectors,
     "op10_toxicity": op10_toxicity,
 }
