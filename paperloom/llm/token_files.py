@@ -25,85 +25,155 @@ special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, binary_column, binary_parts, ragged_take, slices
+from .common import Scratch, arrow_ready, binary_column, binary_parts, ragged_take, slices, utf8
 
 #: Distinct pieces of text that one worker keeps encoded.
-CACHE_PIECES = 600_000
-#: Characters encoded at once by one worker.
-SLICE_CHARS = 2_000_000
-
-#: A space that is followed by white space or the end: there a text cannot simply be cut at spaces.
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r"(?= \S)")
+CACHE_PIECES = 1_500_000
+#: Bytes of text encoded at once by one worker.
+SLICE_BYTES = 1 << 20
+
+#: In texts that hold one of these, white space is not just single spaces and line feeds.
+_ODD = [bytes([c]) for c in (9, 11, 12, 13, 28, 29, 30, 31)] + [b"  ", b" \n", b"\n ", b"\n\n"] + [c.encode() for c in "\x85\xa0\u1680\u205f\u3000"] + [b"\xe2\x80"]
+#: Random numbers by place and byte; a piece's code is the sum of its bytes' numbers.
+_PLACES = 64
+_CODES = np.random.default_rng(20).integers(1 << 63, size=(_PLACES, 256), dtype=np.int64).view(np.uint64).reshape(-1) * np.uint64(2) + np.uint64(1)
+#: Signs before which, after a letter, the pre-tokenizer always cuts. Letters here: A to Z, and
+#: those that UTF-8 writes as 0xC3 and a second byte.
+_SIGN = np.isin(np.arange(256), list(b".,;:!?%&$#*|"))
+_LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_LATIN = np.isin(np.arange(256), [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)])
 
 
 class Encoder:
-    """Ids of whole texts, through a cache of space-separated pieces.
-
-    The pre-tokenizer of a byte-level BPE never joins text across a space that
-    a visible character follows, so a text's ids are those of its pieces one
-    after the other. Pieces repeat; each is given to the library once.
+    """Ids of whole texts, through a cache of pieces.
+
+    The pre-tokenizer of a byte-level BPE never joins text across a single space
+    or line feed between visible characters, so the ids of a text without other
+    white space are those of its pieces, cut before each space, around each line
+    feed and between a letter and a sign. Pieces are told apart by a 64-bit code
+    that numpy computes for all of them at once; each new one is given to the
+    library. Other texts go to the library whole.
     """
 
     def __init__(self, path: str):
+        # One thread: a worker has one core, and the library's own threads only add to its time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.index: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, self.dtype)
         self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
+
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and their numbers. They are joined by line feeds, whose id parts the result."""
+        ids, sizes = [], []
+        for at in range(0, len(pieces), 4000):
+            part = pieces[at : at + 4000]
+            got = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = got == self.line[0]
+            ends = np.append(np.flatnonzero(cut), len(got))
+            if len(ends) != len(part):
+                raise ValueError("the line feed is no token of its own in this vocabulary")
+            ids.append(got[~cut])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, codes: list[int], pieces: list[str]) -> None:
+        if "\n" in pieces:  # it comes first, so that the others can be joined by it
+            k = pieces.index("\n")
+            self._append([codes.pop(k)], np.array(self.line, self.dtype), np.array([len(self.line)]))
+            pieces.pop(k)
+        if pieces:
+            self._append(codes, *self._library(pieces))
+
+    def _append(self, codes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.index)
+        used = int(self.starts[n])
+        need = used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(2 * need - used, self.dtype)])
+        if n + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts[: n + 1], np.zeros(n + 2 * len(sizes) + 1, np.int64)])
+        self.flat[used:need] = ids
+        self.starts[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.index.update(zip(codes, range(n, n + len(sizes)), strict=True))
+
+    def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of non-empty texts whose white space is plain, and their numbers."""
+        joined = b"".join(texts)
+        raw = np.frombuffer(joined, np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
+        line = raw == 10
+        border = line | (raw == 32)
+        border[1:] |= line[:-1] | (_SIGN[raw[1:]] & _LETTER[raw[:-1]])
+        border[2:] |= _SIGN[raw[2:]] & _LATIN[raw[1:-1]] & (raw[:-2] == 0xC3)
+        border[begins] = True
+        first = np.flatnonzero(border)
+        size = np.diff(np.append(first, len(raw)))
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+        code = np.add.reduceat(_CODES.take(((place & (_PLACES - 1)) << 8) | raw), first)
+        long = np.flatnonzero(size > _PLACES)
+        for k in long.tolist():
+            code[k] = xxhash.xxh3_64_intdigest(joined[first[k] : first[k] + size[k]])
+        uniq, one, inverse = np.unique(code, return_index=True, return_inverse=True)
+        keys = uniq.tolist()
+        new = [k for k, c in enumerate(keys) if c not in self.index]
+        if new:
+            at = one[new]
+            spans = zip(first[at].tolist(), (first[at] + size[at]).tolist(), strict=True)
+            self._learn([keys[k] for k in new], [joined[a:b].decode() for a, b in spans])
+        key = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[inverse]
+        starts = self.starts[key]
+        lengths = self.starts[key + 1] - starts
+        ids = ragged_take(self.flat, starts, lengths)
+        total = np.concatenate([[0], np.cumsum(lengths)])[np.append(np.searchsorted(first, begins), len(first))]
+        return ids, np.diff(total)
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return _CUT.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if rest else [head]
-
-    def _learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            rows = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            ids = np.fromiter((i for row in rows for i in row), np.uint32, int(sizes.sum()))
-            n, need = len(self.index), self.used + len(ids)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 2 * len(self.flat)) - self.used, np.uint32)])
-            if n + len(part) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts[: n + 1], np.zeros(max(n + len(part), 2 * len(self.starts)) - n, np.int64)])
-            self.flat[self.used : need] = ids
-            self.starts[n + 1 : n + 1 + len(part)] = self.used + np.cumsum(sizes)
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used = need
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and the number of ids of each."""
+    def _all_plain(texts: list[bytes]) -> bool:
+        """The test of ``encode`` for all texts at once; a line feed after each shows white space at its end."""
+        whole = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(whole, np.uint8)
+        white = (raw == 32) | (raw == 10)
+        return not (white[1:] & white[:-1]).any() and not any(x in whole for x in _ODD if x not in (b"  ", b" \n", b"\n ", b"\n\n"))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8) in a row, and the number of ids of each."""
         if len(self.index) > CACHE_PIECES:
             self.clear()
-        cut = [self.pieces(t) for t in texts]
-        every = [p for row in cut for p in row]
-        self._learn(list(dict.fromkeys(p for p in every if p not in self.index)))
-        key = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        lengths = self.starts[key + 1] - self.starts[key]
-        ids = ragged_take(self.flat, self.starts[key], lengths)
-        ends = np.cumsum([len(row) for row in cut])
-        total = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends]).astype(np.int64)]
-        return ids, np.diff(total)
+        if texts and all(texts) and self._all_plain(texts):
+            return self._cut(texts)
+        plain = [bool(t) and t[-1] not in b" \n" and not any(x in t for x in _ODD) for t in texts]
+        if all(plain) and texts:
+            return self._cut(texts)
+        rows: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        some = [k for k, p in enumerate(plain) if p]
+        if some:
+            ids, counts = self._cut([texts[k] for k in some])
+            for k, part in zip(some, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                rows[k] = part
+        for k, p in enumerate(plain):
+            if not p and texts[k]:
+                rows[k] = np.array(self.tokenizer.encode_batch_fast([texts[k].decode()], add_special_tokens=False)[0].ids, self.dtype)
+        return np.concatenate(rows) if rows else np.zeros(0, self.dtype), np.array([len(r) for r in rows], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -117,33 +187,33 @@ def encoder(path: str) -> Encoder:
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc_id, n_tokens, ids as little-endian unsigned 32-bit integers)."""
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned integers, of two bytes if the vocabulary allows, else four."""
     arrow_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(list(map(len, texts)), SLICE_CHARS):
+            texts = utf8(batch.column(1))
+            for a, b in slices(list(map(len, texts)), SLICE_BYTES):
                 ids, counts = enc.encode(texts[a:b])
                 ends = np.cumsum(counts + 1)
-                out = np.full(int(ends[-1]), end_id, np.uint32)
+                out = np.full(int(ends[-1]), end_id, enc.dtype)
                 keep = np.ones(len(out), bool)
                 keep[ends - 1] = False
                 out[keep] = ids
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts + 1), binary_column(out, np.concatenate([[0], ends]) * 4)], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts + 1), binary_column(out, np.concatenate([[0], ends]) * enc.dtype.itemsize)], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, dtype: str) -> DataFrame:
     """(id, n): occurrences over all documents; each batch is counted before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
             raw, _ = binary_parts(batch.column(0))
-            got = np.bincount(raw.view(np.uint32)) if len(raw) else seen[:0]
+            got = np.bincount(raw.view(dtype)) if len(raw) else seen[:0]
             if len(got) > len(seen):
                 seen, got = got, seen
             seen[: len(got)] += got
@@ -210,7 +280,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     ids = scratch.cut(token_ids(docs, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id), "ids")
-    counted = id_counts(ids).collect()
+    dtype = encoder(tokenizer_path).dtype.str
+    counted = id_counts(ids, dtype).collect()
     order = sorted(counted, key=lambda r: (-r.n, r.id))
     vocab = spark.createDataFrame([(k, r.id) for k, r in enumerate(order)], "rank int, id int")
     vocab.coalesce(1).write.parquet(f"{path}/vocab")
@@ -223,8 +294,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
         for batch in batches:
             raw, off = binary_parts(batch.column(2))
             for a, b in slices(list(np.diff(off)), 8 << 20):
-                counts = np.diff(off[a : b + 1]) // 4
-                control, c_off, data, d_off = pack(shared.value[raw[off[a] : off[b]].view(np.uint32)], counts)
+                counts = np.diff(off[a : b + 1]) // np.dtype(dtype).itemsize
+                control, c_off, data, d_off = pack(shared.value[raw[off[a] : off[b]].view(dtype)], counts)
                 local = begun + np.cumsum(counts) - counts
                 begun += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
