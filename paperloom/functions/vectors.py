@@ -33,11 +33,21 @@ def health(v: Column) -> dict[str, Column]:
     return {"norm": n, "has_nan": F.exists(doubles(v), lambda x: F.isnan(x)), "is_zero": F.forall(doubles(v), lambda x: x == 0), "is_unit": F.abs(n - 1) <= 0.01}
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` has it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def hash_embedding(text: Column, dim: int = DIM) -> Column:
     """SHA-256 bytes of the trimmed text as numbers from -1 to 1, repeated, at unit length."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     digest = F.sha2(F.when(t == "", F.lit(PLACEHOLDER)).otherwise(t), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x) * (dim // 32) + F.aggregate(F.slice(raw, 1, dim % 32) if dim % 32 else F.array().cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(x))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get(unit, i % 32))
+    every = F.array(*(F.lit(2 * i + 1) for i in range(32)))
+    raw = _let(digest, lambda h: F.transform(every, lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0))
+    repeats, rest = divmod(dim, 32)
+
+    def unit(r: Column) -> Column:
+        whole = F.flatten(F.array_repeat(r, repeats)) if not rest else F.concat(F.flatten(F.array_repeat(r, repeats)), F.slice(r, 1, rest))
+        return _let(norm(whole), lambda n: F.transform(whole, lambda x: F.when(n > 0, x / n).otherwise(x)))
+
+    return _let(raw, unit)

@@ -1,0 +1 @@
+"""Plans: whole queries over the driver tables, and their SQL."""
