@@ -29,7 +29,9 @@ class ChunkConfig:
         return int(self.min_tokens * self.chars_per_token)
 
 
-_NONE = F.array().cast("array<string>")
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
 _STATE = "struct<done:array<string>,cur:string>"
 
 
@@ -42,7 +44,7 @@ def _finish(acc: Column) -> Column:
 
 
 def _flushed(acc: Column) -> Column:
-    return F.concat(acc["done"], F.when(acc["cur"] != "", F.array(acc["cur"])).otherwise(_NONE))
+    return F.concat(acc["done"], F.when(acc["cur"] != "", F.array(acc["cur"])).otherwise(_none()))
 
 
 def _joined(acc: Column, part: Column, glue: str) -> Column:
@@ -61,7 +63,7 @@ def pack_sentences(sentences: Column, limit: int) -> Column:
         cut = _state(F.concat(_flushed(acc), _hard_split(s, limit)), F.lit(""))
         return F.when(fits, _state(acc["done"], _joined(acc, s, " "))).when(F.length(s) > limit, cut).otherwise(_state(_flushed(acc), s))
 
-    return F.aggregate(sentences, _state(_NONE, F.lit("")), step, _finish)
+    return F.aggregate(sentences, _state(_none(), F.lit("")), step, _finish)
 
 
 def pack_paragraphs(content: Column, cfg: ChunkConfig) -> Column:
@@ -74,7 +76,7 @@ def pack_paragraphs(content: Column, cfg: ChunkConfig) -> Column:
         by_sentence = _state(F.concat(_flushed(acc), pack_sentences(T.sentences(p), limit)), acc["cur"] if cfg.parity else F.lit(""))
         return F.when(fits, _state(acc["done"], _joined(acc, p, "\n\n"))).when(F.length(p) > limit, by_sentence).otherwise(_state(_flushed(acc), p))
 
-    packed = F.aggregate(paragraphs, _state(_NONE, F.lit("")), step, _finish)
+    packed = F.aggregate(paragraphs, _state(_none(), F.lit("")), step, _finish)
     kept = F.filter(packed, lambda c: F.length(c) >= cfg.min_chars)
     return F.when(F.length(content) <= limit, F.array(content)).otherwise(kept)
 
@@ -89,7 +91,7 @@ def pack_table(content: Column, title: Column, cfg: ChunkConfig) -> Column:
     ruled = F.coalesce(is_rule(F.get(lines, first + 1)), F.lit(False))
     starts = (first == 0) if cfg.parity else (first >= 0)
     header_end = F.when(starts, first + 1 + ruled.cast("int")).otherwise(0)
-    header = F.when(starts, F.slice(lines, first + 1, F.lit(1) + ruled.cast("int"))).otherwise(_NONE)
+    header = F.when(starts, F.slice(lines, first + 1, F.lit(1) + ruled.cast("int"))).otherwise(_none())
     named = F.coalesce(title, F.lit(""))
     head = F.array_join(header, "\n")
     base = F.length(head) + F.length(named) + 10
@@ -101,7 +103,7 @@ def pack_table(content: Column, title: Column, cfg: ChunkConfig) -> Column:
         row = F.concat(x, F.lit("\n"))
         return F.when(fits, _state(acc["done"], F.concat(acc["cur"], row))).otherwise(_state(_flushed(acc), row))
 
-    pieces = F.aggregate(body, _state(_NONE, F.lit("")), step, _finish)
+    pieces = F.aggregate(body, _state(_none(), F.lit("")), step, _finish)
 
     def dressed(p: Column, i: Column) -> Column:
         rows = F.concat(head, F.lit("\n"), F.substring(p, F.lit(1), F.length(p) - 1))
@@ -140,6 +142,6 @@ def chunk_blocks(blocks: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFra
         F.col("table_metadata.table_id").alias("table_id"),
         F.col("figure_metadata.figure_id").alias("figure_id"),
         F.col("footnote.marker").alias("footnote_marker"),
-        F.coalesce("figure_metadata.panel_titles", _NONE).alias("panel_titles"),
+        F.coalesce("figure_metadata.panel_titles", _none()).alias("panel_titles"),
         F.col("extraction_confidence").alias("confidence"),
     )

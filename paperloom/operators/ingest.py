@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import tables as X
 from ..functions import text as T
-from ..schema import BLOCKS
+from .. import schema as S
 
 PAGE = ["document_id", "page_number"]
 
@@ -104,7 +104,7 @@ def as_blocks(rows: DataFrame, modality: str, phase: int, *, position: str, cont
     hierarchy = F.array(T.section_of_page(F.col("page_number")))
     r = rows.withColumn("_content", content)
     for name in ("text_metadata", "table_metadata", "figure_metadata", "footnote"):
-        r = r.withColumn(f"_{name}", (structs[name] if name in structs else F.lit(None)).cast(BLOCKS[name].dataType))
+        r = r.withColumn(f"_{name}", (structs[name] if name in structs else F.lit(None)).cast(S.BLOCKS[name].dataType))
     r = r.withColumn("_pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy(position)) - 1).withColumn("_h", hierarchy)
     empty = F.lit("")
     cites = T.citations(F.lit(modality), F.col("document_id"), F.col("page_number"), F.col("_h"), F.coalesce("_table_metadata.table_id", empty), F.coalesce("_figure_metadata.figure_id", empty), F.coalesce("_footnote.marker", empty))
@@ -128,7 +128,7 @@ def as_blocks(rows: DataFrame, modality: str, phase: int, *, position: str, cont
         **{n: F.col(f"_{n}") for n in ("text_metadata", "table_metadata", "figure_metadata", "footnote")},
         **cites,
     }
-    return r.select(*((values[f.name] if f.name in values else F.col(f.name)).cast(f.dataType).alias(f.name) for f in BLOCKS))
+    return r.select(*((values[f.name] if f.name in values else F.col(f.name)).cast(f.dataType).alias(f.name) for f in S.BLOCKS))
 
 
 def text_to_blocks(raw: DataFrame, merge: bool = True) -> DataFrame:

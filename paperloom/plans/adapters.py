@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions import text as T
 from ..operators.index import build_index
-from ..schema import BLOCKS
 from . import fixtures
 
 
@@ -24,7 +24,7 @@ def blocks_from(rows: DataFrame) -> DataFrame:
     hierarchy = F.col("section_hierarchy") if "section_hierarchy" in have else F.array(T.section_of_page(F.col("page_number")))
     r = rows.withColumn("_h", hierarchy)
     none = lambda f: F.lit(None).cast(f.dataType)
-    for f in BLOCKS:
+    for f in S.BLOCKS:
         if f.name in ("table_metadata", "figure_metadata", "footnote") and f.name not in have:
             r = r.withColumn(f.name, none(f))
     empty = F.lit("")
@@ -39,7 +39,7 @@ def blocks_from(rows: DataFrame) -> DataFrame:
         "extraction_warnings": F.array(),
         **cites,
     }
-    return r.select(*((F.col(f.name) if f.name in r.columns else derived.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in BLOCKS))
+    return r.select(*((F.col(f.name) if f.name in r.columns else derived.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in S.BLOCKS))
 
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

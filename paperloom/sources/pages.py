@@ -18,7 +18,11 @@ from .. import schema as S
 from ..functions import text as T
 
 Reader = Callable[[str, bytes], Iterable[dict]]
-KINDS = {"span": S.SPANS, "grid": S.GRIDS, "image": S.IMAGES, "word": S.WORDS}
+KINDS = {"span": "SPANS", "grid": "GRIDS", "image": "IMAGES", "word": "WORDS"}
+
+
+def schema_of(kind: str) -> StructType:
+    return getattr(S, KINDS[kind])
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -37,7 +41,7 @@ def _status(content: bytes | None) -> str | None:
 
 def scan(source: DataFrame, reader: Reader, kind: str) -> DataFrame:
     """What the reader yields of one kind, for all files that can be read."""
-    fields: StructType = KINDS[kind]
+    fields = schema_of(kind)
     names = [f.name for f in fields if f.name != "document_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
