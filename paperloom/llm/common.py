@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,10 +50,16 @@ class Scratch:
         """Write ``df`` and return a scan of what was written."""
         path = self.path(name)
         df.write.option("compression", codec).parquet(path)
+        self.tidy()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def tidy(self) -> None:
+        """Let Spark remove shuffle files that no plan refers to; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that nothing will read again."""
         jvm = self.spark.sparkContext._jvm

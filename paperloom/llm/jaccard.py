@@ -10,12 +10,16 @@ the first ``n - need + 1`` (prefix) of each.
 2. Each class sends its prefix under the first order by code (one shuffle). Classes
    that meet under a code, fit in size and stand early enough in both prefixes are
    candidates. Codes met by up to ``BIG`` classes give all their pairs. Codes met by
-   more give each class one partner in its stretch of similar size, and their rows
-   are kept for step 5.
-3. Candidates must also share a prefix code under a second and a third, random
-   order; only those that pass all the filters are verified.
-4. Sets of the classes left are brought together, by the partner with more
-   candidates salted, and intersected exactly. Links give components.
+   more give each class a leader among those of like size, the one with the fewest
+   rarer codes before (of near copies, the one with the fewest changes), and their
+   rows are kept for step 5. A class keeps the ``LEADERS`` leaders that it meets under
+   the most codes.
+3. Candidates first meet as sketches of parity bits, which bound from below by how
+   many codes they differ. Sets of those left are brought together, by the partner
+   with many candidates salted. A pair must also share a prefix code under a second
+   and a third, random order; only pairs that pass all the filters are counted
+   exactly.
+4. Links give components.
 5. Under codes met by many, classes of different components remain to be compared:
    for each such code, those outside its largest component against all. Their
    pairs pass the same filters and the same verification, then components are
@@ -34,14 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, binary_column, binary_parts, utf8
+from .common import Scratch, arrow_ready, slices, utf8
 from .graph import components
-from .textcode import WordHash, mixed, shingles, tokens
+from .textcode import mixed, shingle_sets
 
-BIG = 48
+BIG = 4
+LEADERS = 2
 #: Codes that one worker counts together; a code seen ``OFTEN`` times there is noted.
 CHUNK_CODES = 6_000_000
 OFTEN = 4
@@ -69,13 +74,16 @@ class Threshold:
         return (self.den * np.minimum(n, m) >= self.num * np.maximum(n, m)) if isinstance(n, np.ndarray) else (self.den * min(n, m) >= self.num * max(n, m))
 
 
-def shingle_set(text: bytes, words: WordHash, k: int) -> np.ndarray:
-    return np.unique(shingles(words.codes(tokens(text)), k))
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a batch."""
+    texts = utf8(batch.column(1))
+    for a, b in slices(list(map(len, texts)), 1 << 20):
+        yield from shingle_sets(texts[a:b], k)
 
 
 def set_code(codes: np.ndarray) -> int:
     """A code of a sorted set, as a signed 64-bit number."""
-    return int((mixed(mixed(codes) + np.uint64(len(codes))).sum(dtype=np.uint64) ^ np.uint64(len(codes))).astype(np.int64))
+    return int((mixed(codes + np.uint64(len(codes))).sum(dtype=np.uint64) ^ np.uint64(len(codes))).astype(np.int64))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,7 +94,7 @@ def _members(texts: DataFrame, k: int) -> DataFrame:
     """One row for each document (kind 0: doc_id, class, n), and for each code often met in a chunk (kind 1: place in the table, -, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, held, size = WordHash(), set(), [], 0
+        seen, held, size = set(), [], 0
 
         def often() -> pa.RecordBatch:
             codes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -96,8 +104,7 @@ def _members(texts: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             code, n = [], []
-            for text in utf8(batch.column(1)):
-                s = shingle_set(text, words, k)
+            for s in _sets(batch, k):
                 n.append(len(s))
                 code.append(set_code(s) if len(s) else None)
                 if len(s) and code[-1] not in seen:
@@ -128,31 +135,15 @@ class _Prefixes:
         some = np.argpartition(rank, p - 1)[:p] if p < len(s) else np.arange(len(s))
         return s[some[np.lexsort((s[some], rank[some]))]]
 
-    def signature(self, s: np.ndarray) -> bytes:
-        """For each other order, the prefix codes cut to 16 bits."""
-        p = self.th.prefix(len(s))
-        out = []
-        for salt in _ORDERS:
-            x = mixed(s ^ salt)
-            out.append(np.unique((np.partition(x, p - 1)[:p] if p < len(x) else x).astype(np.uint16)))
-        return np.concatenate([np.array([len(out[0])], "<u2"), *out]).astype("<u2").tobytes()
-
-
-def _share_signature(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-    i, j = int(x[0]) + 1, int(y[0]) + 1
-    return bool(np.isin(x[1:i], y[1:j]).any() and np.isin(x[i:], y[j:]).any())
-
 
 def _prefix_rows(texts: DataFrame, table, th: Threshold, k: int) -> DataFrame:
     """(code, class, n, place) for each prefix code of each class, by classes once for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, pre = WordHash(), set(), _Prefixes(table.value, th)
+        seen, pre = set(), _Prefixes(table.value, th)
         for batch in batches:
             code, cls, n = [], [], []
-            for text in utf8(batch.column(1)):
-                s = shingle_set(text, words, k)
+            for s in _sets(batch, k):
                 if len(s) and (c := set_code(s)) not in seen:
                     seen.add(c)
                     code.append(pre.first(s))
@@ -191,7 +182,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.
 
 
 def _meetings(rows: DataFrame, th: Threshold) -> DataFrame:
-    """Candidates (kind 0: a, b) and rows of codes met by many (kind 1: code, class, np), from rows sorted by code, np, class.
+    """Candidates (kind 0: a, b), rows of codes met by many (kind 1: code, class, np), and a class, its leader and under how many codes (kind 2), from rows sorted by code, np, class.
 
     Streams: what is held is one batch and, of a code that goes on, its last stretch.
     """
@@ -202,12 +193,12 @@ def _meetings(rows: DataFrame, th: Threshold) -> DataFrame:
         keep[1:] = (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])
         code, cls, nps = code[keep], cls[keep], nps[keep]
         n, i = nps >> 32, nps & 0xFFFFFFFF
-        a, b, big = [], [], []
+        a, b = [], []
         begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(code)))
         for m in np.unique(size[size > 1]).tolist():
             at = begin[size == m]
-            if m <= BIG and whole:
+            if whole and m <= BIG:
                 x, y = np.triu_indices(m, 1)
                 step = max(1, 2_000_000 // len(x))
                 for q in range(0, len(at), step):
@@ -215,26 +206,27 @@ def _meetings(rows: DataFrame, th: Threshold) -> DataFrame:
                     ok = _early(th, n[l], i[l], n[r], i[r])
                     a.append(cls[l[ok]])
                     b.append(cls[r[ok]])
-            else:
-                for s in at.tolist():
-                    # Stretches of neighbours in size; each row pairs with its stretch's middle, middles with the next.
-                    rows_ = np.arange(s, s + m)
-                    lead = np.minimum(s + (np.arange(m) // BIG) * BIG + BIG // 2, s + m - 1)
-                    middles = np.unique(lead)
-                    l, r = np.concatenate([rows_, middles[:-1]]), np.concatenate([lead, middles[1:]])
-                    ok = (l != r) & th.fits(n[l], n[r])
-                    a.append(cls[l[ok]])
-                    b.append(cls[r[ok]])
-                    big.append(rows_)
         out = []
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             z = np.zeros(len(pairs), np.int64)
             out.append((0, pairs[:, 0], pairs[:, 1], z))
-        if big:
-            g = np.concatenate(big)
+        run = np.repeat(np.arange(len(size)), size)
+        g = np.flatnonzero(size[run] > (BIG if whole else 1)) if len(code) else run
+        if len(g):
             out.append((1, code[g], cls[g], nps[g]))
+            band = np.floor(np.log(n[g]) / np.log(1.08)).astype(np.int64)
+            order = g[np.lexsort((mixed(cls[g].view(np.uint64)), i[g], band, run[g]))]
+            level = np.floor(np.log(n[order]) / np.log(1.08)).astype(np.int64)
+            new = np.append(True, (run[order][1:] != run[order][:-1]) | (level[1:] != level[:-1]))
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            heads = order[new]
+            near = run[heads][1:] == run[heads][:-1]
+            l, r = np.concatenate([order, heads[:-1][near]]), np.concatenate([lead, heads[1:][near]])
+            ok = (l != r) & th.fits(n[l], n[r])
+            stars, times = np.unique(np.stack([cls[l[ok]], cls[r[ok]]], axis=1), axis=0, return_counts=True)
+            out.append((2, stars[:, 0], stars[:, 1], times))
         return [pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(z)], names=["kind", "a", "b", "c"]) for kind, x, y, z in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,23 +254,23 @@ def _meetings(rows: DataFrame, th: Threshold) -> DataFrame:
     return rows.mapInArrow(run, "kind int, a long, b long, c long")
 
 
-def _payloads(texts: DataFrame, wanted: np.ndarray, make, k: int, spark) -> DataFrame:
-    """(cls, payload) of classes that the Bloom filter holds; a class may come once for each partition."""
+def _payloads(texts: DataFrame, wanted: np.ndarray, k: int, spark) -> DataFrame:
+    """(cls, sketch, codes) of classes that the Bloom filter holds; a class may come once for each partition."""
     shared = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, bits = WordHash(), set(), shared.value
+        seen, bits = set(), shared.value
         for batch in batches:
-            cls, out = [], []
-            for text in utf8(batch.column(1)):
-                s = shingle_set(text, words, k)
+            cls, sketch, out = [], [], []
+            for s in _sets(batch, k):
                 if len(s) and (c := set_code(s)) not in seen and _in_bloom(bits, c):
                     seen.add(c)
                     cls.append(c)
-                    out.append(make(s))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "payload"])
+                    sketch.append(_sketch(s))
+                    out.append(_pack(s))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(out, pa.binary())], names=["cls", "sketch", "codes"])
 
-    return texts.mapInArrow(run, "cls long, payload binary")
+    return texts.mapInArrow(run, "cls long, sketch binary, codes binary")
 
 
 def _bloom_places(c: int, size: int) -> tuple[int, int, int]:
@@ -366,6 +358,32 @@ def _checked(pairs: DataFrame, payloads: DataFrame, test, scratch: Scratch, name
     return scratch.cut(second, name)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """The set's size and parity bits: for each place, whether an odd number of its codes fall there."""
+    size = max(256, 1 << (4 * len(s) - 1).bit_length())
+    parity = np.bincount((mixed(s ^ _ORDERS[0]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return len(s).to_bytes(4, "little") + np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+class _Near:
+    """Whether sketches allow a link. Sets whose parities differ at d places differ by d codes at least."""
+
+    def __init__(self, th: Threshold):
+        self.th = th
+
+    def __call__(self, a: bytes, b: bytes) -> bool:
+        if len(a) < len(b):
+            a, b = b, a
+        n, m = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
+        if not self.th.fits(n, m):
+            return False
+        x, y, size = int.from_bytes(a[4:], "little"), int.from_bytes(b[4:], "little"), len(a) - 4
+        while size > len(b) - 4:  # fold the longer sketch onto the shorter
+            size //= 2
+            x = (x & ((1 << 8 * size) - 1)) ^ (x >> 8 * size)
+        return (x ^ y).bit_count() <= n + m - 2 * self.th.need(n, m)
+
+
 def _pack(s: np.ndarray) -> bytes:
     """The sorted set, 6 bytes of each code."""
     return np.sort(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -377,29 +395,57 @@ def _unpack(b: bytes) -> np.ndarray:
     return raw.view(np.uint64).ravel()
 
 
-def _linked(th: Threshold, a: bytes, b: bytes) -> bool:
-    x, y = _unpack(a), _unpack(b)
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return shared >= th.need(len(x), len(y))
+class _Verify:
+    """Whether two packed sets link: they share prefix codes under each of the random orders, and enough codes."""
 
+    def __init__(self, th: Threshold):
+        self.th = th
+        self.last: tuple[bytes, np.ndarray, list[np.ndarray]] | None = None
 
-def _links(pairs: DataFrame, texts: DataFrame, th: Threshold, k: int, scratch: Scratch) -> DataFrame:
-    """Verified links among candidate pairs (a, b)."""
-    spark = pairs.sparkSession
-    arrow_ready(spark)
-    pre = _Prefixes(np.zeros(1, np.uint8), th)
+    def _prefixes(self, s: np.ndarray) -> list[np.ndarray]:
+        p = self.th.prefix(len(s))
+        orders = (mixed(s ^ salt) for salt in _ORDERS)
+        return [np.partition(x, p - 1)[:p] if p < len(x) else x for x in orders]
+
+    def __call__(self, a: bytes, b: bytes) -> bool:
+        x = _unpack(a)
+        if self.last is None or self.last[0] is not b:
+            y = _unpack(b)
+            self.last = b, y, self._prefixes(y)
+        _, y, prefixes = self.last
+        if not self.th.fits(len(x), len(y)):
+            return False
+        if not all(_common(p, q) for p, q in zip(self._prefixes(x), prefixes, strict=True)):
+            return False
+        return _common(x, y) >= self.th.need(len(x), len(y))
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many codes two arrays of distinct codes share."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _only(sets: DataFrame, wanted: np.ndarray, column: str) -> DataFrame:
+    """(cls, payload) of the classes that the Bloom filter holds."""
+    shared = sets.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_in_bloom(shared.value, c) for c in batch.column(0).to_pylist()], pa.bool_()))
+
+    return sets.select("cls", F.col(column).alias("payload")).mapInArrow(run, "cls long, payload binary")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, th: Threshold, scratch: Scratch) -> DataFrame:
+    """Verified links among candidate pairs (a, b): by sketches first, which are small, then by sets."""
     if not pairs.take(1):
-        return pairs
-    signed = _payloads(texts, _bloom(pairs), pre.signature, k, spark)
-    likely = _checked(pairs, signed, _share_signature, scratch, "likely")
-    if not likely.take(1):
-        return likely
-    arrow_ready(spark)
-    sets = _payloads(texts, _bloom(likely), _pack, k, spark)
-    return _checked(likely, sets, lambda a, b: _linked(th, a, b), scratch, "links")
+        return pairs.select("a", "b")
+    near = _checked(pairs, _only(sets, _bloom(pairs), "sketch"), _Near(th), scratch, "near")
+    if not near.take(1):
+        return near
+    return _checked(near, _only(sets, _bloom(near), "codes"), _Verify(th), scratch, "links")
 
 
 def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -419,8 +465,12 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "code").sortWithinPartitions("code", "np", "cls")
     met = scratch.cut(_meetings(dealt, th), "met")
-    pairs = scratch.cut(met.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    links = _links(pairs, texts, th, k, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    led = met.filter("kind = 2").groupBy("a", "b").agg(F.sum("c").alias("times"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
+    led = led.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.cut(met.filter("kind = 0").select("a", "b").unionByName(led).distinct(), "pairs")
+    sets = scratch.cut(_payloads(texts, _bloom(pairs.select("a", "b").unionByName(met.filter("kind = 1").select("b", F.col("b").alias("a")).distinct())), k, spark), "sets", "lz4")
+    links = _links(pairs, sets, th, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links, scratch)
 
     many = met.filter("kind = 1").select(F.col("a").alias("code"), F.col("b").alias("cls"), (F.col("c") / (1 << 32)).cast("long").alias("n"), F.col("c").bitwiseAND((1 << 32) - 1).alias("i"))
@@ -434,10 +484,11 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         fits = (th.den * F.least("n", "n2") >= th.num * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= need)
         left = mixed_codes.join(other, "code").filter((F.col("component") != F.col("component2")) & fits)
         rest = left.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = _links(scratch.cut(rest, "rest"), texts, th, k, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = _links(scratch.cut(rest, "rest"), sets, th, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if more.take(1):
             labels = components(links.unionByName(more), scratch)
 
+    scratch.drop(met, sets)
     classes = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = joined.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -59,3 +59,45 @@ def shingles(codes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out += mixed(codes[j : n - k + 1 + j]) * _PLACES[j]
     return mixed(out + np.uint64(k))
+
+
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPAN = 64
+#: Random numbers by place in a word and byte, none for white space; a word's code is their sum.
+_BYTES = np.random.default_rng(41).integers(1 << 63, size=(_SPAN, 256), dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[:, _WHITE] = 0
+_BYTES = _BYTES.reshape(-1)
+
+
+def token_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the ``tokens`` of all texts in a row, and where each text's begin and end."""
+    joined = b" ".join(texts).lower()
+    raw = np.frombuffer(joined, np.uint8)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    word = ~_WHITE[raw]
+    word[1:] &= _WHITE[raw[:-1]]
+    first = np.flatnonzero(word)
+    bounds = np.searchsorted(first, begins)
+    if not len(first):
+        return np.zeros(0, np.uint64), bounds
+    size = np.diff(np.append(first, len(raw)))
+    place = np.arange(first[0], len(raw), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    code = np.add.reduceat(_BYTES.take(((place & (_SPAN - 1)) << 8) | raw[first[0] :]), first - first[0])
+    for k in np.flatnonzero(size > _SPAN).tolist():
+        code[k] = xxhash.xxh3_64_intdigest(joined[first[k] : first[k] + size[k]].rstrip(b" \t\n\r\x0b\x0c"))
+    return code, bounds
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct codes of its shingles (see ``shingles``)."""
+    codes, bounds = token_codes(texts)
+    mx = mixed(codes)
+    out = np.zeros(max(0, len(codes) - k + 1), np.uint64)
+    for j in range(k):
+        out += mx[j : len(codes) - k + 1 + j] * _PLACES[j] if len(out) else np.zeros(0, np.uint64)
+    out = mixed(out + np.uint64(k))
+    sets = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        s = np.sort(out[a : b - k + 1] if b - a >= k else shingles(codes[a:b], k))
+        sets.append(s if len(s) < 2 else s[np.append(True, s[1:] != s[:-1])])
+    return sets
