@@ -58,7 +58,7 @@ def subwords(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     roll = np.zeros(len(raw), np.uint64)
     for n in range(1, max(NGRAMS) + 1):
         shifted = np.zeros(len(raw), np.uint64)
-        shifted[: len(raw) - n + 1] = raw[n - 1 :]
+        shifted[: max(0, len(raw) - n + 1)] = raw[n - 1 :]
         roll = roll * np.uint64(0x100000001B3) + shifted + np.uint64(n)
         if n in NGRAMS:
             ok = left >= n
