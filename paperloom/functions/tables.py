@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value named once, so that expressions do not multiply."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def is_numeric(cell: Column) -> Column:
     """a number, with separators, percent, dollar or brackets around it."""
     t = F.regexp_replace(F.trim(cell), "[,%$]", "")
@@ -93,22 +98,26 @@ def _hits(keywords: Column, label: Column) -> Column:
 def _best(rows: Column, keywords: Column, usable) -> Column:
     """The first of the rows (label, value) with the most keywords in its label, at least one."""
     scored = F.transform(rows, lambda r, i: F.struct(F.when(usable(r), _hits(keywords, r["label"])).otherwise(0).alias("score"), (-i).alias("place"), r["label"].alias("label"), r["value"].alias("value")))
-    best = F.array_max(scored)
-    return F.when(best["score"] > 0, best)
+    return let(F.array_max(scored), lambda best: F.when(best["score"] > 0, best))
 
 
 def _value(found: Column) -> Column:
-    value = F.trim(found["value"])
-    return F.when(value.isNotNull() & ~value.isin("", "-", "...", "n/a"), F.struct(F.trim(found["label"]).alias("label"), value.alias("value")))
+    def clean(f: Column) -> Column:
+        value = F.trim(f["value"])
+        return F.when(value.isNotNull() & ~value.isin("", "-", "...", "n/a"), F.struct(F.trim(f["label"]).alias("label"), value.alias("value")))
+
+    return let(found, clean)
 
 
 def markdown_lookup(text: Column, year: Column, keywords: Column, parity: bool = True) -> Column:
     """struct(label, value) of the row that fits best in the year's column; null if there is none."""
-    rows = parse_markdown(text, parity)
-    column = F.array_position(F.transform(F.get(rows, 0), lambda h: F.contains(h, year)), True).cast("int") - 1
-    data = F.transform(F.slice(rows, F.lit(2), F.greatest(F.lit(0), F.size(rows) - 1)), lambda r: F.struct(F.get(r, 0).alias("label"), F.get(r, column).alias("value")))
-    found = _best(data, keywords, lambda r: F.lit(True))
-    return F.when((F.size(rows) >= 2) & year.isNotNull() & (column >= 0), _value(found))
+
+    def in_column(rows: Column, column: Column) -> Column:
+        data = F.transform(F.slice(rows, F.lit(2), F.greatest(F.lit(0), F.size(rows) - 1)), lambda r: F.struct(F.get(r, 0).alias("label"), F.get(r, column).alias("value")))
+        return F.when((F.size(rows) >= 2) & year.isNotNull() & (column >= 0), _value(_best(data, keywords, lambda r: F.lit(True))))
+
+    place = lambda rows: F.array_position(F.transform(F.get(rows, 0), lambda h: F.contains(h, year)), True).cast("int") - 1
+    return let(parse_markdown(text, parity), lambda rows: let(place(rows), lambda column: in_column(rows, column)))
 
 
 def text_table_score(text: Column) -> Column:
@@ -128,23 +137,27 @@ def text_table_score(text: Column) -> Column:
 
 def text_table_rows(text: Column, year: Column) -> Column:
     """(label, value) by line, the value being the number near the place of ``year`` in the header."""
-    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n")
-    many = F.transform(F.slice(lines, 1, 5), lambda x: F.regexp_count(x, F.lit(r"\b20\d{2}\b")) >= 2)
-    at = F.array_position(many, True).cast("int")
-    header = F.get(lines, at - 1)
-    place = F.length(F.regexp_extract(header, r"^(.*?)\b20\d{2}\b", 1))  # of the first year, if that is asked for
-    before = F.instr(F.regexp_replace(header, r"\b(20\d{2})\b", "$1"), year)
-    place = F.when(before > 0, before - 1).otherwise(place)
-    rest = F.filter(F.transform(F.slice(lines, at + 1, F.greatest(F.lit(0), F.size(lines) - at)), lambda x: F.trim(x)), lambda x: F.length(x) >= 5)
-    start = F.greatest(F.lit(0), place - 5)
-    rows = F.transform(
-        rest,
-        lambda x: F.struct(
-            F.trim(F.regexp_extract(x, r"^([A-Za-z][^0-9\n]{2,40})", 1)).alias("label"),
-            F.nullif(F.regexp_extract(F.substring(x, start + 1, place + 15 - start), r"(-?\d+\.?\d*)", 1), F.lit("")).alias("value"),
-        ),
-    )
-    return F.when((F.size(lines) >= 2) & (at > 0) & (before > 0), F.filter(rows, lambda r: r["label"] != ""))
+
+    def after(lines: Column, at: Column) -> Column:
+        """Rows below the header, which is line ``at`` from 1."""
+        place = F.instr(F.get(lines, at - 1), year) - 1
+        rest = F.filter(F.transform(F.slice(lines, at + 1, F.greatest(F.lit(0), F.size(lines) - at)), lambda x: F.trim(x)), lambda x: F.length(x) >= 5)
+
+        def rows(place: Column) -> Column:
+            start = F.greatest(F.lit(0), place - 5)
+            each = F.transform(
+                rest,
+                lambda x: F.struct(
+                    F.trim(F.regexp_extract(x, r"^([A-Za-z][^0-9\n]{2,40})", 1)).alias("label"),
+                    F.nullif(F.regexp_extract(F.substring(x, start + 1, place + 15 - start), r"(-?\d+\.?\d*)", 1), F.lit("")).alias("value"),
+                ),
+            )
+            return F.when((F.size(lines) >= 2) & (at > 0) & (place >= 0), F.filter(each, lambda r: r["label"] != ""))
+
+        return let(place, rows)
+
+    header = lambda lines: F.array_position(F.transform(F.slice(lines, 1, 5), lambda x: F.regexp_count(x, F.lit(r"\b20\d{2}\b")) >= 2), True).cast("int")
+    return let(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), lambda lines: let(header(lines), lambda at: after(lines, at)))
 
 
 def text_table_lookup(text: Column, year: Column, keywords: Column) -> Column:
@@ -159,15 +172,18 @@ def display_table(text: Column) -> Column:
     The years are those of the text in order, three at least; a line shows if it
     has a label (up to 29 characters) and as many numbers as there are years.
     """
-    years = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(20\d{2})\b"), 1)))
-    n = F.size(years)
     right = lambda xs: F.array_join(F.transform(xs, lambda v: F.lpad(v, 10, " ")), "")
-    head = F.concat(F.rpad(F.lit("Indicator"), 30, " "), right(years))
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\|", " ")))
     parts = F.transform(
         lines,
         lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([A-Za-z][^0-9\n]*)", 1)).alias("label"), F.regexp_extract_all(F.regexp_replace(x, r"^[A-Za-z][^0-9\n-]*", ""), F.lit(r"(-?\d+\.?\d*)"), 1).alias("v")),
     )
-    rows = F.filter(parts, lambda p: (p["label"] != "") & (F.size(p["v"]) >= n))
-    body = F.transform(rows, lambda p: F.concat(F.rpad(F.substring(p["label"], 1, 29), 30, " "), right(F.slice(p["v"], F.size(p["v"]) - n + 1, n))))
-    return F.when((n >= 3) & (F.size(rows) > 0), F.array_join(F.concat(F.array(head), body), "\n")).otherwise(text)
+
+    def shown(years: Column, n: Column) -> Column:
+        rows = F.filter(parts, lambda p: (p["label"] != "") & (F.size(p["v"]) >= n))
+        head = F.concat(F.rpad(F.lit("Indicator"), 30, " "), right(years))
+        line = lambda p: F.concat(F.rpad(F.substring(p["label"], 1, 29), 30, " "), right(F.slice(p["v"], F.size(p["v"]) - n + 1, n)))
+        return let(rows, lambda rs: F.when((n >= 3) & (F.size(rs) > 0), F.array_join(F.concat(F.array(head), F.transform(rs, line)), "\n")).otherwise(text))
+
+    years = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(20\d{2})\b"), 1)))
+    return let(years, lambda ys: let(F.size(ys), lambda n: shown(ys, n)))

@@ -82,8 +82,8 @@ def table_answers(guarded: DataFrame, parity: bool = False) -> DataFrame:
     by_id = F.contains(ident, name) if parity else F.regexp_like(ident, F.concat(F.lit(r"\btable\s+"), "number", F.lit(r"[a-z]?\b")))
     in_text = F.contains(low, F.concat(name, F.lit("."))) | F.contains(low, F.concat(name, F.lit(":"))) | F.contains(low, F.concat(name, F.lit(" ")))
     starts = F.startswith(F.trim(low), name) if parity else F.regexp_like(F.trim(low), F.concat(F.lit("^"), name, F.lit(r"(?!\d)")))
-    shown = X.display_table(F.col("content"))
-    body = F.when(shown == F.col("content"), F.array_join(F.slice(F.split("content", "\n"), 1, 15), "\n")).otherwise(shown)
+    first = F.array_join(F.slice(F.split("content", "\n"), 1, 15), "\n")
+    body = X.let(X.display_table(F.col("content")), lambda shown: F.when(shown == F.col("content"), first).otherwise(shown))
     title = F.when(F.coalesce("table_id", F.lit("")) != "", F.col("table_id")).otherwise(F.concat(F.lit("Table "), "number"))
     text = F.concat(title, F.lit(" (Page "), F.col("page_number").cast("string"), F.lit("):\n\n"), body, F.lit("\n\n[1]"))
     return _first(t.filter(by_id | in_text | starts), text, "HIGH", _cite(F.col("content"), 100, table_id=title), F.col("pos"))

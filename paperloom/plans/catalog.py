@@ -443,7 +443,7 @@ def answer_end_to_end(spark, sf):
     """Blocks, chunks, index, reranked retrieval and rules, for a batch of questions."""
     ix = index.build_index(chunk.chunk_blocks(A.all_blocks(spark, sf)))
     q = _questions(spark)
-    ranked = retrieve.retrieve(q, ix, 10, "reranked")
+    ranked = retrieve.retrieve(q, ix, 10, "reranked").persist()  # a few rows for each question, read by every rule
     a = answer.rule_answers(q, ranked)
     return a.select("answer_id", "query_id", "query", "intent", "answer_text", "answer_type", "confidence", F.size("citations").alias("n_citations"), "sources_used", "sources_available")
 
