@@ -254,23 +254,22 @@ def _meetings(rows: DataFrame, th: Threshold) -> DataFrame:
     return rows.mapInArrow(run, "kind int, a long, b long, c long")
 
 
-def _payloads(texts: DataFrame, wanted: np.ndarray, k: int, spark) -> DataFrame:
-    """(cls, sketch, codes) of classes that the Bloom filter holds; a class may come once for each partition."""
-    shared = spark.sparkContext.broadcast(wanted)
+def _payloads(texts: DataFrame, wanted: np.ndarray, make, k: int) -> DataFrame:
+    """(cls, payload) of classes that the Bloom filter holds; a class may come once for each partition."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = set(), shared.value
         for batch in batches:
-            cls, sketch, out = [], [], []
+            cls, out = [], []
             for s in _sets(batch, k):
                 if len(s) and (c := set_code(s)) not in seen and _in_bloom(bits, c):
                     seen.add(c)
                     cls.append(c)
-                    sketch.append(_sketch(s))
-                    out.append(_pack(s))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(out, pa.binary())], names=["cls", "sketch", "codes"])
+                    out.append(make(s))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "payload"])
 
-    return texts.mapInArrow(run, "cls long, sketch binary, codes binary")
+    return texts.mapInArrow(run, "cls long, payload binary")
 
 
 def _bloom_places(c: int, size: int) -> tuple[int, int, int]:
@@ -427,25 +426,25 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _only(sets: DataFrame, wanted: np.ndarray, column: str) -> DataFrame:
-    """(cls, payload) of the classes that the Bloom filter holds."""
-    shared = sets.sparkSession.sparkContext.broadcast(wanted)
+def _only(sketches: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """The payloads of the classes that the Bloom filter holds."""
+    shared = sketches.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([_in_bloom(shared.value, c) for c in batch.column(0).to_pylist()], pa.bool_()))
 
-    return sets.select("cls", F.col(column).alias("payload")).mapInArrow(run, "cls long, payload binary")
+    return sketches.mapInArrow(run, "cls long, payload binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, th: Threshold, scratch: Scratch) -> DataFrame:
-    """Verified links among candidate pairs (a, b): by sketches first, which are small, then by sets."""
+def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, th: Threshold, k: int, scratch: Scratch) -> DataFrame:
+    """Verified links among candidate pairs (a, b): by sketches first, which are small, then by the sets of what is left."""
     if not pairs.take(1):
         return pairs.select("a", "b")
-    near = _checked(pairs, _only(sets, _bloom(pairs), "sketch"), _Near(th), scratch, "near")
+    near = _checked(pairs, _only(sketches, _bloom(pairs)), _Near(th), scratch, "near")
     if not near.take(1):
         return near
-    return _checked(near, _only(sets, _bloom(near), "codes"), _Verify(th), scratch, "links")
+    return _checked(near, _payloads(texts, _bloom(near), _pack, k), _Verify(th), scratch, "links")
 
 
 def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -469,8 +468,8 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
     led = led.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.cut(met.filter("kind = 0").select("a", "b").unionByName(led).distinct(), "pairs")
-    sets = scratch.cut(_payloads(texts, _bloom(pairs.select("a", "b").unionByName(met.filter("kind = 1").select("b", F.col("b").alias("a")).distinct())), k, spark), "sets", "lz4")
-    links = _links(pairs, sets, th, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sketches = scratch.cut(_payloads(texts, _bloom(pairs.select("a", "b").unionByName(met.filter("kind = 1").select("b", F.col("b").alias("a")).distinct())), _sketch, k), "sketches")
+    links = _links(pairs, sketches, texts, th, k, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links, scratch)
 
     many = met.filter("kind = 1").select(F.col("a").alias("code"), F.col("b").alias("cls"), (F.col("c") / (1 << 32)).cast("long").alias("n"), F.col("c").bitwiseAND((1 << 32) - 1).alias("i"))
@@ -484,11 +483,11 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         fits = (th.den * F.least("n", "n2") >= th.num * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= need)
         left = mixed_codes.join(other, "code").filter((F.col("component") != F.col("component2")) & fits)
         rest = left.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = _links(scratch.cut(rest, "rest"), sets, th, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = _links(scratch.cut(rest, "rest"), sketches, texts, th, k, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if more.take(1):
             labels = components(links.unionByName(more), scratch)
 
-    scratch.drop(met, sets)
+    scratch.drop(met, sketches)
     classes = members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = joined.groupBy("component").agg(F.min("least").alias("component_id"))
