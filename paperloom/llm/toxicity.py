@@ -41,7 +41,6 @@ DIM = 8
 NGRAMS = (3, 4, 5)
 WINDOW = 8
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
-MAX_CHARS = 20_000
 MIN_DOCS = 8
 BATCH = 128
 
@@ -170,17 +169,12 @@ def _passages(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel:
-    """Fit on at most ``max_toxic + max_clean`` labelled documents; ``labels`` is (id, toxic).
-
-    Of a sampled text, up to ``MAX_CHARS`` characters at each end are used, which
-    bounds what the driver holds.
-    """
+    """Fit on the whole texts of at most ``max_toxic + max_clean`` labelled documents; ``labels`` is (id, toxic)."""
     marked = labels.filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda kind, n: marked.filter(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(n)
     sample = pick(1, max_toxic).unionByName(pick(0, max_clean))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    both_ends = F.when(F.length(text) <= 2 * MAX_CHARS, text).otherwise(F.concat(F.substring(text, 1, MAX_CHARS), F.lit(" "), F.substring(text, -MAX_CHARS, MAX_CHARS)))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), both_ends.alias("text")).join(F.broadcast(sample), "id").limit(2 * (max_toxic + max_clean)).collect()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(sample), "id").limit(2 * (max_toxic + max_clean)).collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return fit_toxicity([words(r.text.encode()) for r in rows], np.array([r.toxic for r in rows], np.int64))
 
