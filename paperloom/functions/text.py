@@ -228,7 +228,7 @@ def keywords(query: Column, years: bool = True) -> Column:
 
 
 def target_year(query: Column) -> Column:
-    """The first token that starts with a year; the reference rule keeps the whole token."""
+    """The first token that starts with a year, whole."""
     return F.get(F.filter(query_tokens(query), lambda t: F.regexp_like(t, F.lit(r"^20\d{2}"))), 0)
 
 
