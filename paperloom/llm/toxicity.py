@@ -25,7 +25,7 @@ rows are scored alike; all input columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,14 +87,16 @@ def _mean_rows(table: np.ndarray, index: np.ndarray, counts: np.ndarray) -> np.n
     return np.add.reduceat(table[index], starts, axis=0) / counts[:, None]
 
 
-def fit_toxicity(docs: list[list[bytes]], toxic: np.ndarray, *, epochs: tuple[int, int] = (4, 12), rate: float = 0.02, decay: float = 2e-3, seed: int = 7) -> ToxicityModel:
+def fit_toxicity(docs: Iterable[list[bytes]], toxic: np.ndarray, *, epochs: tuple[int, int] = (4, 12), rate: float = 0.02, decay: float = 2e-3, seed: int = 7) -> ToxicityModel:
     """Joint training by gradient steps (Adam) on each document's most toxic passage."""
-    if not len(docs) or toxic.min() == toxic.max():
+    if not len(toxic) or toxic.min() == toxic.max():
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -50.0)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+    # Texts come one by one and are kept as numbers of words.
+    vocabulary: dict[bytes, int] = {}
+    coded = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in d), np.int32, len(d)) for d in docs]
     grams, per = subwords(list(vocabulary))
     first = np.concatenate([[0], np.cumsum(per)[:-1]])
-    coded = [np.array([vocabulary[w] for w in d], np.int64) for d in docs]
+    del vocabulary
     held = np.zeros(BUCKETS, np.int64)
     for c in coded:
         u = np.unique(c)
@@ -112,7 +114,7 @@ def fit_toxicity(docs: list[list[bytes]], toxic: np.ndarray, *, epochs: tuple[in
         # Words come down to one number each, which finds every document's worst passage.
         tox = emb @ (soft[1] - soft[0])
         word_score = np.add.reduceat(tox[grams], first) / per
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(coded))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
             picked = []
@@ -174,9 +176,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     pick = lambda kind, n: marked.filter(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(n)
     sample = pick(1, max_toxic).unionByName(pick(0, max_clean))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(sample), "id").limit(2 * (max_toxic + max_clean)).collect()
-    rows.sort(key=lambda r: (r.id, r.text))
-    return fit_toxicity([words(r.text.encode()) for r in rows], np.array([r.toxic for r in rows], np.int64))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(sample), "id").limit(2 * (max_toxic + max_clean)).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    return fit_toxicity((words(t) for c in rows.column("text").chunks for b in c.to_pylist() for t in (b.encode(),)), rows.column("toxic").to_numpy().astype(np.int64))
 
 
 class WordScores(dict):
