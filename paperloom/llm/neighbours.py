@@ -10,9 +10,10 @@ with a count. Each class keeps a list of its ``k`` nearest others found so far.
    compared with each other, and what is nearer than the last on a list takes its
    place, until few lists change. Entries below ``cos(2 * acos(threshold))`` are
    left out: two vectors that both link to a third are never below it.
-3. A list is saturated when it is full of links. Lists of the components that hold
-   one are enlarged to the whole component, in blocks: each block of vectors meets
-   each other block and only counts of links are kept.
+3. A list is saturated when it is full of links; nearer vectors may then hide links,
+   also those that leave the component. So the components that hold one (dense) meet
+   in blocks every vector that can link with one of theirs, told by its distance to
+   the component's pivot. Only counts are kept, and which components links join.
 4. Links are checked in double precision. An audit compares some vectors with all
    others; while its recall is below ``recall``, further tables and rounds follow.
 
@@ -41,6 +42,8 @@ TABLES = 10
 STRETCH = 256
 BLOCK = 512
 AUDIT = 200
+#: Dense components whose pivots are broadcast at once.
+PIVOTS = 4096
 
 
 def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -195,17 +198,62 @@ def _exact(pairs: DataFrame, classes: DataFrame, dim: int, threshold: float) ->
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _block_counts(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(id, links) within components, from (component, id, vec, copies, blocks): blocks meet, counts are kept."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _reaching(placed: DataFrame, dense: DataFrame, dim: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """(component, blocks, home, whole, id, copies, vec): for each dense component its own vectors and all others that can link with one of them.
+
+    No vector of a component is further from its pivot (the vector of the smallest
+    id) than its radius, so what links with one is within radius and threshold of it.
+    """
+    members = placed.join(dense, "component")
+    pivots = members.filter("id = component").select("component", F.col("vec").alias("pivot"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((_matrix(b.column(1), dim) * _matrix(b.column(2), dim)).sum(1))], names=["component", "cosine"])
+
+    widths = members.join(pivots, "component").select("component", "vec", "pivot").mapInArrow(spread, "component long, cosine double").groupBy("component").agg(F.min("cosine").alias("cosine"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    pivots = scratch.cut(pivots.join(widths, "component"), "pivots")
+    chunks = math.ceil(pivots.count() / PIVOTS)
+    flagged = placed.join(dense.withColumn("whole", F.lit(True)), "component", "left").select("id", "component", "copies", F.coalesce("whole", F.lit(False)).alias("whole"), "vec")
+    out = None
+    for chunk in range(chunks):
+        rows = pivots.filter(F.pmod(F.xxhash64("component"), F.lit(chunks)) == chunk).collect()
+        angle = np.arccos(np.clip([r.cosine for r in rows], -1, 1)) + math.acos(threshold)
+        low = np.where(angle < math.pi, np.cos(np.minimum(angle, math.pi)), -2) - 1e-6
+        of = np.array([r.component for r in rows], np.int64), np.array([r.blocks for r in rows], np.int32)
+        shared = placed.sparkSession.sparkContext.broadcast((*of, np.array([np.frombuffer(bytes(r.pivot), np.float64) for r in rows]).reshape(-1, dim), low))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names = ["component", "blocks", "home", "whole", "id", "copies", "vec"]
+            component, blocks, pivot, low = shared.value
+            for b in batches:
+                r, c = np.nonzero(_matrix(b.column(4), dim) @ pivot.T >= low)
+                for k in range(0, len(r), 20_000):
+                    some = b.take(pa.array(r[k : k + 20_000]))
+                    at = c[k : k + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(component[at]), pa.array(blocks[at]), some.column(1), some.column(3), some.column(0), some.column(2), some.column(4)], names=names)
+
+        found = flagged.mapInArrow(run, "component long, blocks int, home long, whole boolean, id long, copies long, vec binary")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _block_counts(reaching: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(id, links, home, component): parts of the links with vectors of dense components; blocks meet, counts are kept.
+
+    ``component`` is set where a vector of another component (``home``) links.
+    """
+    parts = int(reaching.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asks = rows.select("component", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side"), "id", "copies", "vec")
-    holds = rows.select("component", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "id", "copies", "vec")
+    rows = reaching.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = rows.select("component", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side"), "home", "whole", "id", "copies", "vec")
+    holds = rows.filter("home = component").select("component", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "home", "whole", "id", "copies", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "links", "home", "component"]
         key, held = None, []
-        for comp, i, j, side, ids, copies, vec in _runs(batches, 4, BLOCK):
+        for comp, i, j, side, home, whole, ids, copies, vec in _runs(batches, 4, BLOCK):
             here = (comp[0].as_py(), i[0].as_py(), j[0].as_py())
             if here != key:
                 key, held = here, []
@@ -214,12 +262,38 @@ def _block_counts(members: DataFrame, dim: int, threshold: float) -> DataFrame:
                 held.append((x, ids_, n))
                 continue
             total = np.zeros(len(x), np.int64)
+            # Vectors of dense components ask themselves; for others both ends are counted here.
+            once = np.where(whole.to_numpy(zero_copy_only=False), 0, n)
             for y, other, m in held:
-                total += ((x @ y.T >= threshold) & (ids_[:, None] != other[None, :])) @ m
-            yield pa.RecordBatch.from_arrays([pa.array(ids_), pa.array(total)], names=["id", "links"])
+                hit = (x @ y.T >= threshold) & (ids_[:, None] != other[None, :])
+                total += hit @ m
+                back = once @ hit
+                if back.any():
+                    none = pa.nulls(int((back > 0).sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(other[back > 0]), pa.array(back[back > 0]), none, none], names=names)
+            some = pa.array(total > 0)
+            outside = home.to_numpy() != here[0]
+            joins = pa.array(np.full(len(x), here[0], np.int64), mask=~outside)
+            yield pa.RecordBatch.from_arrays([ids.filter(some), pa.array(total).filter(some), home.filter(some), joins.filter(some)], names=names)
 
     meets = asks.unionByName(holds).repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "id")
-    return meets.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return meets.mapInArrow(run, "id long, links long, home long, component long")
+
+
+def _counted(placed: DataFrame, dense: DataFrame, links: DataFrame, dim: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """(id, component, copies, least, links): links of lists, in full for dense components, which links join to others."""
+    ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(placed.select(F.col("id").alias("v"), "copies"), "v")
+    listed = ends.groupBy("u").agg(F.sum("copies").alias("listed")).withColumnRenamed("u", "id")
+    out = placed.select("id", "component", "copies", "least").join(listed, "id", "left")
+    if dense.isEmpty():
+        return scratch.cut(out.withColumn("links", F.coalesce("listed", F.lit(0))).drop("listed"), "counted")
+    met = scratch.cut(_block_counts(_reaching(placed, dense, dim, threshold, scratch), dim, threshold), "met")
+    joined = components(met.filter("component is not null").select(F.col("home").alias("u"), F.col("component").alias("v")), scratch)
+    out = out.join(met.groupBy("id").agg(F.sum("links").alias("met")), "id", "left").join(dense.withColumn("whole", F.lit(True)), "component", "left")
+    # Lists hold links within components only, so those with dense components come on top.
+    full = F.coalesce("met", F.lit(0)) + F.when(F.col("whole"), 0).otherwise(F.coalesce("listed", F.lit(0)))
+    out = out.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left")
+    return scratch.cut(out.select("id", F.coalesce("joined", "component").alias("component"), "copies", "least", full.alias("links")), "counted")
 
 
 def _audit(classes: DataFrame, counted: DataFrame, dim: int, threshold: float) -> float:
@@ -273,12 +347,8 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "emb
         labels = components(links, scratch)
         placed = scratch.cut(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
         saturated = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("last")).filter((F.col("n") >= K) & (F.col("last") >= threshold - 1e-6)).select(F.col("u").alias("id"))
-        dense = placed.join(saturated, "id", "left_semi").select("component").distinct()
-        sizes = placed.join(dense, "component", "left_semi").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        in_dense = _block_counts(placed.join(sizes, "component").select("component", "id", "vec", "copies", "blocks"), dim, threshold)
-        ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(classes.select(F.col("id").alias("v"), "copies"), "v")
-        by_lists = ends.groupBy("u").agg(F.sum("copies").alias("listed")).withColumnRenamed("u", "id")
-        counted = scratch.cut(placed.select("id", "component", "copies", "least").join(by_lists, "id", "left").join(in_dense, "id", "left").withColumn("links", F.coalesce("links", "listed", F.lit(0))).drop("listed"), "counted")
+        dense = scratch.cut(placed.join(saturated, "id", "left_semi").select("component").distinct(), "dense")
+        counted = _counted(placed, dense, links, dim, threshold, scratch)
         share = _audit(classes, counted, dim, threshold)
         if report:
             report(share)

@@ -135,6 +135,21 @@ def test_near_vectors_against_brute_force(spark):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_link_dense_groups(spark):
+    rng = np.random.default_rng(8)
+    axes = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    mid = 0.92 * axes[0] + np.sqrt(1 - 0.92**2) * axes[1]
+    x = np.vstack([c + 0.01 * rng.normal(size=(n, 24)) for c, n in ((axes[0], 40), (mid, 40), (axes[2], 30), (-axes[5], 1))])
+    x = np.vstack([x, x[:3], 0.91 * axes[2] + np.sqrt(1 - 0.91**2) * axes[3]])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    assert link[:40, 40:80].mean() > 0.5
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(df).collect()}
+    home = [0] * 80 + [80] * 30 + [110] + [0] * 3 + [80]
+    assert got == {k: (int(link[k].sum()), home[k]) for k in range(len(x))}
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no driver tables")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
