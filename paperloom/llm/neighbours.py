@@ -15,7 +15,8 @@ with a count. Each class keeps a list of its ``k`` nearest others found so far.
    in blocks every vector that can link with one of theirs, told by its distance to
    the component's pivot. Only counts are kept, and which components links join.
 4. Links are checked in double precision. An audit compares some vectors with all
-   others; while its recall is below ``recall``, further tables and rounds follow.
+   others; while its mean recall is below ``recall``, further tables and rounds
+   follow, and after ``attempts`` of them all components count as dense.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are their own component; so do vectors whose
@@ -152,7 +153,7 @@ def _seeds(classes: DataFrame, dim: int, n: int, floor: float, tables: range) ->
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = classes.select("id", "vec").mapInArrow(run, "key long, id long, vec binary")
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("id")).mapInArrow(meet, _EDGES)
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("id", "key")).mapInArrow(meet, _EDGES)
 
 
 def _lists(edges: DataFrame) -> DataFrame:
@@ -297,8 +298,13 @@ def _counted(placed: DataFrame, dense: DataFrame, links: DataFrame, dim: int, th
 
 
 def _audit(classes: DataFrame, counted: DataFrame, dim: int, threshold: float) -> float:
-    """Share of the true links of ``AUDIT`` classes (smallest hash of their id) that were found."""
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).join(counted, "id").select("id", "vec", "links").collect()
+    """Mean share of their true links that were found, over audited classes that have links.
+
+    Audited are ``AUDIT`` classes and as many with links found, those of the smallest hash of their id.
+    """
+    first = lambda rows: rows.orderBy(F.xxhash64("id"), "id").limit(AUDIT)
+    picked = first(counted.select("id", "links")).unionByName(first(counted.filter("links > 0").select("id", "links"))).distinct()
+    sample = classes.select("id", "vec").join(picked, "id").collect()
     if not sample:
         return 1.0
     ids = np.array([r.id for r in sample])
@@ -315,8 +321,8 @@ def _audit(classes: DataFrame, counted: DataFrame, dim: int, threshold: float) -
 
     true = classes.select("id", "vec", "copies").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")).collect()
     want = {r.id: r.links for r in true}
-    found = sum(min(r.links, want.get(r.id, 0)) for r in sample)
-    return found / total if (total := sum(want.values())) else 1.0
+    shares = [min(r.links, want[r.id]) / want[r.id] for r in sample if want.get(r.id)]
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, rounds: int = 4, recall: float = 0.98, attempts: int = 3, report: Callable[[float], None] | None = None) -> DataFrame:
@@ -354,6 +360,11 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "emb
             report(share)
         if share >= recall:
             break
+    else:
+        # The descent has not got there: all components meet all that they can link with, which is exact.
+        counted = _counted(placed, placed.select("component").distinct(), links, dim, threshold, scratch)
+        if report:
+            report(_audit(classes, counted, dim, threshold))
     first = counted.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = counted.join(first, "component").select("id", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     joined = keyed.select("vec_id", F.when(F.col("vec").isNotNull(), F.col("key")).alias("id")).join(of_class, "id", "left")

@@ -150,6 +150,25 @@ def test_near_vectors_link_dense_groups(spark):
     assert got == {k: (int(link[k].sum()), home[k]) for k in range(len(x))}
 
 
+def test_near_vectors_reach_the_recall_asked_for(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 24))
+    x[:60] = x[0] + 0.05 * rng.normal(size=(60, 24))  # a hot group must not hide what the pairs lose
+    for k in range(100, 900, 2):
+        x[k + 1] = x[k] + 0.25 * rng.normal(size=24)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    old, shares = neighbours.TABLES, []
+    neighbours.TABLES = 1  # one table loses many pairs
+    try:
+        got = {r.vec_id: r.n_links for r in neighbours.near_vectors(df, rounds=1, attempts=1, report=shares.append).collect()}
+    finally:
+        neighbours.TABLES = old
+    assert shares[0] < 0.98 and shares[-1] == 1
+    assert got == {k: int(link[k].sum()) for k in range(900)}
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no driver tables")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
