@@ -83,8 +83,11 @@ def token_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.append(first, len(raw)))
     place = np.arange(first[0], len(raw), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
     code = np.add.reduceat(_BYTES.take(((place & (_SPAN - 1)) << 8) | raw[first[0] :]), first - first[0])
+    # White space after a word adds nothing to its sum; only the word itself can be too long for it.
     for k in np.flatnonzero(size > _SPAN).tolist():
-        code[k] = xxhash.xxh3_64_intdigest(joined[first[k] : first[k] + size[k]].rstrip(b" \t\n\r\x0b\x0c"))
+        w = joined[first[k] : first[k] + size[k]].rstrip(b" \t\n\r\x0b\x0c")
+        if len(w) > _SPAN:
+            code[k] = xxhash.xxh3_64_intdigest(w)
     return code, bounds
 
 

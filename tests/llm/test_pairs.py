@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperloom.llm import decontamination, graph, jaccard, neighbours
+from paperloom.llm import decontamination, graph, jaccard, neighbours, textcode
 from paperloom.llm.common import Scratch
 
 DATA = "/root/testdata/sf0.001"
@@ -65,6 +65,19 @@ def test_jaccard_edges(spark, frame):
     assert sorted((x.doc_id is None, x.n_shingles, x.component_id) for x in r if x.n_shingles == 2) == [(False, 2, 4), (True, 2, 4)]
 
 
+def test_white_space_after_words_does_not_count(spark, frame):
+    words = ["foo", "bar", "x" * 64, "y" * 65, "é", "last"]
+    plain, wide = " ".join(words), (" " * 100).join(words)
+    texts = [plain, wide, "\n" * 70 + plain + "\t" * 90, plain, *[None, ""] * 50, " " * 80 + plain]
+    for some in (texts, texts[:1], [wide + " " + plain]):
+        codes, bounds = textcode.token_codes([(t or "").encode() for t in some])
+        runs = [codes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        alone = textcode.token_codes([plain.encode()])[0].tolist()
+        assert all(r in ([], alone, alone * 2) for r in runs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(frame(texts).coalesce(1)).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_components(spark):
     random.seed(4)
     edges = [(k, k + 1) for k in range(200) if k % 10] + [(random.randrange(1000, 1100), random.randrange(1000, 1100)) for _ in range(60)]
