@@ -24,12 +24,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies.
+    """The document of the smallest id of each group of near copies: five words, similarity 0.8 or more.
 
     Rows without an id stay: they cannot be told apart by one. Of rows equal in id
     and text one stays.
     """
-    classes = similarity_classes(docs)
+    classes = similarity_classes(docs, k=5, threshold=(80, 100))
     kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id is null"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperloom.llm import decontamination, graph, jaccard, neighbours, textcode
+from paperloom.llm import decontamination, graph, jaccard, neighbours, stages, textcode
 from paperloom.llm.common import Scratch
 
 DATA = "/root/testdata/sf0.001"
@@ -59,6 +59,40 @@ def test_jaccard_against_brute_force(spark, frame, seed):
     assert got == brute_classes(texts)
 
 
+def brute_near_copies(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    low = list(range(len(texts)))
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                low[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_near_copies_of_the_pipeline_against_brute_force(spark, frame):
+    random.seed(9)
+    texts = near_copies(9)
+    for cut in (81, 83, 84, 79):  # the long document's copy ends early
+        long = ["u%d" % random.randrange(10_000) for _ in range(504)]
+        texts += [" ".join(long), " ".join(long[: 4 + 5 * cut])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(frame(texts), k=5, threshold=(80, 100)).collect()}
+    want = brute_near_copies(texts, 5, 80)
+    assert got == want
+    kept = {r.doc_id for r in stages.one_of_each_group(spark, frame(texts), "").collect()}
+    assert kept == {k for k, (_, low) in want.items() if k == low}
+
+
 def test_jaccard_edges(spark, frame):
     assert jaccard.similarity_classes(frame(["x"]).limit(0)).count() == 0
     r = jaccard.similarity_classes(frame(["a b c d e", "a b c d e", "x"], ids=[None, 4, None])).collect()
