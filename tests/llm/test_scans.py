@@ -79,6 +79,19 @@ def test_licenses(spark, frame):
     assert licenses.scan_licenses(frame(texts).limit(0)).count() == 0
 
 
+def test_licenses_over_lines(spark, frame):
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal"]
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    isc = "# Permission to use, copy, modify, and/or distribute this software for\n# any purpose with or without fee is hereby granted, provided"
+    cc0 = "The person has waived all copyright and\nrelated or neighboring rights\n\nto this work"
+    words = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
+    scattered = " ".join(w + " x" * 60 for w in words)
+    texts = ["\n".join(mit), bsd, isc, cc0, scattered, *("pad " * n + "\r\n".join(mit) + " pad" * 50 for n in (1, 20, 27, 28, 29, 33, 55, 56, 57, 700)), " ".join(words[:15]), " ".join(words[:14])]
+    r = licenses.scan_licenses(frame(texts)).orderBy("doc_id").collect()
+    assert [x.labels for x in r] == ["mit", "bsd", "isc", "cc0", ""] + ["mit"] * 10 + ["", ""]
+    assert all(x.score == 1 for x in r[:4] + r[5:15]) and r[4].score == 0
+
+
 _E = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _I = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _C = re.compile(r"[0-9]([\x20-]?[0-9])+")
