@@ -92,6 +92,22 @@ def test_licenses_over_lines(spark, frame):
     assert all(x.score == 1 for x in r[:4] + r[5:15]) and r[4].score == 0
 
 
+def test_licenses_are_told_apart(spark, frame):
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "You may copy it under the terms of the GNU General Public License": "gpl",
+        "Licensed under the GNU Affero General Public License": "agpl",
+        "under the terms of the GNU Lesser General Public License": "lgpl",
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",  # cc-by by the phrase
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "Released under the Apache License": "apache",
+        "Licensed under the Example License, Version 2.0": "",
+    }
+    r = licenses.scan_licenses(frame(list(want))).orderBy("doc_id").collect()
+    assert [x.labels for x in r] == list(want.values())
+
+
 _E = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _I = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _C = re.compile(r"[0-9]([\x20-]?[0-9])+")
