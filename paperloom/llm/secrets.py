@@ -42,11 +42,12 @@ WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]+"
 #: Character class, pattern, and least entropy in bits of some window of 20 characters.
-#: Digits and letters alone never count: numbers and long words are no secrets.
+#: Running numbers stay below what digits need, long words and most joined ones below letters.
+#: Mixed-case letters with padding are mixed, as they are without it.
 CLASSES = (
-    ("digits", r"^[0-9_=+/-]+$", None),
+    ("digits", r"^[0-9_=+/-]+$", 3.05),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 2.93),
-    ("letters", r"^(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[A-Za-z]+(?:[-_/=+]+[A-Za-z]*)+)$", None),
+    ("letters", r"^(?!(?=[A-Z+/]*[a-z])(?=[a-z+/]*[A-Z])[A-Za-z+/]+={1,2}$)(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[A-Za-z]+(?:[-_/=+]+[A-Za-z]*)+)$", 3.8),
     ("mixed", r"", 3.73),
 )
 ALLOW = r"(?i)example|sample|placeholder|dummy|changeme|xxxx|1234567890|abcdefghij|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -111,7 +112,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     for _, pattern, bits in reversed(classes):
         here = F.lit(None if bits is None else float(bits)).cast("double")
         least = F.when(F.regexp_like("m", F.lit(pattern)), here).otherwise(least) if pattern else here
-    cands = staged.filter(F.size("_cands") > 0).select("_row", F.inline("_cands")).filter(~F.regexp_like("m", F.lit(allow))).withColumn("_least", least).filter("_least is not null")
+    cands = staged.filter(F.size("_cands") > 0).select("_row", F.inline("_cands")).filter(~F.regexp_like("m", F.lit(allow))).withColumn("_least", least)
     high = cands.withColumn("_bits", max_entropy(F.col("m"), window)).filter("_bits >= _least")
     more = high.groupBy("_row").agg(F.collect_list(F.struct("s", F.lit(len(kinds)).alias("k"), "e", F.lit("entropy").alias("kind"), "m")).alias("_more"))
     return (

@@ -154,6 +154,13 @@ def test_secrets(spark, frame):
     assert r[6].base == "" and r[6].spans == "entropy:3:27"
 
 
+def test_every_class_is_scored(spark, frame):
+    secret = ["qzjxkvbwphygmfducrlotnseia", "QZJXKVBWPHYGMFDUCRLOTNSEIAQWMZPL", "8361052947813952076428", "QzjXkvBwpHygMfdUcrLotNse==", "QzjXkvBwpHygMfdUcrLotNse", "qzjx-kvbw-phyg-mfdu-crlo-tnse"]
+    plain = ["100000000100000000200", "2023-01-01-2023-01-02-2023-01-03", "Donaudampfschifffahrtsgesellschaft", "internationalizationinternational", "CONTRIBUTIONINSTITUTIONS", "content-types-and-text-content"]
+    r = secrets.scan_secrets(frame([f"id {s} end" for s in secret + plain])).select("doc_id", secrets.joined("spans").alias("spans")).orderBy("doc_id").collect()
+    assert [x.spans for x in r] == [f"entropy:3:{3 + len(s)}" for s in secret] + [""] * len(plain)
+
+
 def test_window_entropy(spark):
     import math
     from collections import Counter
