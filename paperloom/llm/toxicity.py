@@ -43,11 +43,22 @@ WINDOW = 8
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 MIN_DOCS = 8
 BATCH = 128
+#: Longer runs without separators (Chinese text, text glued together) are cut into pieces that count as words.
+PIECE = 200
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """Words of a text; those of more than ``PIECE`` bytes as pieces that overlap by four bytes, so no n-gram is lost."""
+    ws = words(text)
+    if not ws or len(max(ws, key=len)) <= PIECE:
+        return ws
+    step = PIECE - max(NGRAMS) + 1
+    return [w[a : a + PIECE] for w in ws for a in range(0, max(1, len(w) - max(NGRAMS) + 1), step)]
 
 
 def subwords(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams and the word itself, and their number, for each word."""
-    marked = [b"<" + w[:200] + b">" for w in ws]
+    marked = [b"<" + w + b">" for w in ws]
     size = np.array([len(m) for m in marked], np.int64)
     raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     ends = np.cumsum(size)
@@ -177,7 +188,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     sample = pick(1, max_toxic).unionByName(pick(0, max_clean))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(sample), "id").limit(2 * (max_toxic + max_clean)).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    return fit_toxicity((words(t) for c in rows.column("text").chunks for b in c.to_pylist() for t in (b.encode(),)), rows.column("toxic").to_numpy().astype(np.int64))
+    return fit_toxicity((pieces(t) for c in rows.column("text").chunks for b in c.to_pylist() for t in (b.encode(),)), rows.column("toxic").to_numpy().astype(np.int64))
 
 
 class WordScores(dict):
@@ -199,7 +210,7 @@ class WordScores(dict):
 def score_batch(texts: list[bytes], model: ToxicityModel, known: WordScores) -> np.ndarray:
     out = np.zeros(len(texts))
     for a, b in slices(list(map(len, texts)), 4 << 20):
-        cut = [words(t) for t in texts[a:b]]
+        cut = [pieces(t) for t in texts[a:b]]
         known.learn((w for c in cut for w in c), model.bucket)
         for k, c in enumerate(cut, a):
             total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(known.__getitem__, c), np.float64, len(c)))])

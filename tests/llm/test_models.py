@@ -59,6 +59,18 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([x.predicted == x.toxic for x in r]) > 0.93
 
 
+def test_toxicity_reads_long_runs_whole():
+    for n in (1, 199, 200, 201, 396, 397, 1000):
+        run = np.random.default_rng(n).integers(128, 256, n).astype(np.uint8).tobytes()
+        cut = toxicity.pieces(b"a " + run + b" b")
+        assert cut[0] == b"a" and cut[-1] == b"b" and all(len(p) <= toxicity.PIECE for p in cut)
+        assert cut[1] + b"".join(p[4:] for p in cut[2:-1]) == run
+    model = toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, np.float32), -1.0)
+    model.bucket[toxicity.subwords([b"zwortzig"])[0]] = 200
+    low, high = toxicity.score_batch([b"\xe4\xb8\xad" * 400, b"\xe4\xb8\xad" * 300 + b"zwortzig" * 5 + b"\xe4\xb8\xad" * 100], model, toxicity.WordScores())
+    assert low < 0.5 < high
+
+
 def test_toxicity_learns_subwords_and_edges(spark, frame):
     rng = np.random.default_rng(1)
     filler = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
