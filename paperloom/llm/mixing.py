@@ -10,16 +10,20 @@ the running sum crosses. Standing in order of size keeps the words taken near
 the target.
 
 The running sum needs no single task for a source: a document's rank is the rank
-in its bucket (source, power of two of its size, slot of its id) plus the number
-of documents in the buckets before it. Slots grow with the table, so a bucket
-stays near ``bucket_rows`` rows whatever one source holds. Only the buckets
-and the list of sources are ordered as a whole.
+in its bucket (source, size class, slot of a digest) plus the number of documents
+in the buckets before it. A class holds sizes that differ by a sixteenth at most;
+there are 256 slots at every size of the table, so the order, and with it the mix,
+of given documents is the same whatever else the table holds in other sources.
+Sums over buckets go by source and class, then by slot. Only sizes and digests pass
+the windows; ``mixed_documents`` joins the texts on at the end.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in
 order; a source without words has target 0 and its documents are not taken; an
-empty table stays empty; repeated rows are separate rows that tie (each gets a
-rank); null ids share one slot. All input columns are kept; results are added
-under names that callers choose through ``prefix``.
+empty table stays empty; very long texts only count by their words; documents of
+one size stand by id (null first), then by digest, and rows that tie in all of
+these are equal, so it does not matter which of them is taken; null ids spread over
+slots by their digest. All input columns are kept, but for those named like a
+result: ``prefix`` chooses these names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,6 +68,40 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return per.select("source", "source_size", "n_docs", "target", rate.alias("rate"))
 
 
+def size_class(size: Column) -> Column:
+    """A number that grows with the size, equal for sizes that share their five highest bits."""
+    bits = F.length(F.bin(size))
+    return (bits * 16 + F.call_function("shiftright", size, F.greatest(bits - 5, F.lit(0))).bitwiseAND(15)).cast("int")
+
+
+def digest(docs: DataFrame) -> Column:
+    """64 bits of all columns that Spark can hash."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
+
+
+def _ranked(rows: DataFrame, weights: Sequence[float], share: float, most: float, seed: str) -> DataFrame:
+    """``rows`` (row, id, src, none, size, tie) with source_size, target and copies."""
+    slot = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("tie").cast("string"))), 1, 2), 16, 10).cast("int")
+    rows = rows.withColumns({"class": size_class(F.col("size")), "slot": slot})
+    source, of_class, bucket = ["src", "none"], ["src", "none", "class"], ["src", "none", "class", "slot"]
+    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    classes = counts.groupBy(*of_class).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    per = classes.groupBy(*source).agg(F.sum("words").alias("size")).select(F.when(~F.col("none"), F.col("src")).alias("source"), "size")
+    targets = source_targets(per, weights, share, most).select(
+        F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("none"), "source_size", "target", "rate"
+    )
+    # The offset: 16 bits, so that adding it to a running sum is exact.
+    text = F.concat(F.lit(f"{seed}:"), F.when(F.col("none"), F.lit("n")).otherwise(F.lit("s")), F.lit(":"), F.col("src"))
+    offset = F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("double") / 65536.0
+    before = lambda keys, by: F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    based = classes.select(*of_class, before(source, "class").alias("class_base")).join(targets, source)
+    placed = counts.select(*bucket, before(of_class, "slot").alias("slot_base")).join(based, of_class).withColumn("u", offset)
+    rank = F.col("class_base") + F.col("slot_base") + F.row_number().over(Window.partitionBy(*bucket).orderBy("size", F.col("id").asc_nulls_first(), "tie"))
+    upto = lambda k: F.floor(F.col("u") + F.col("rate") * k)
+    copies = F.least(upto(F.col("rank")) - upto(F.col("rank") - 1), F.ceil(F.lit(float(most))))
+    return rows.join(placed, bucket).withColumn("rank", rank).withColumn("copies", copies.cast("long"))
+
+
 def systematic_mix(
     docs: DataFrame,
     size: Column,
@@ -72,55 +112,42 @@ def systematic_mix(
     seed: str = "mix",
     id_col: str = "doc_id",
     source_col: str = "source",
-    bucket_rows: int = 200_000,
+    tie: Column | None = None,
     prefix: str = "mix_",
 ) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (names start with ``prefix``)."""
-    slots = max(1, -(-docs.count() // bucket_rows))
-    own = docs.columns
-    ident, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
-    octave = F.length(F.bin("_size"))
-    rows = docs.withColumn("_size", size.cast("long")).select(
-        *(F.col(f"`{c}`") for c in own),
-        "_size",
-        F.coalesce(source, F.lit("")).alias("_src"),
-        source.isNull().alias("_none"),
-        octave.alias("_octave"),
-        F.coalesce(F.pmod(ident, F.lit(slots)), F.lit(0)).cast("int").alias("_slot"),
-        ident.alias("_id"),
-    )
-    bucket = ["_src", "_none", "_octave", "_slot"]
-    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
-    per = counts.groupBy("_src", "_none").agg(F.sum("_words").alias("size")).select(F.when(~F.col("_none"), F.col("_src")).alias("source"), "size")
-    targets = source_targets(per, weights, share, most).select(
-        F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_none"), "source_size", "target", "rate"
-    )
-    # The offset: 16 bits, so that adding it to a running sum is exact.
-    text = F.concat(F.lit(f"{seed}:"), F.when(F.col("_none"), F.lit("n")).otherwise(F.lit("s")), F.lit(":"), F.col("_src"))
-    offset = F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("double") / 65536.0
-    line = Window.partitionBy("_src", "_none").orderBy("_octave", "_slot")
-    placed = (
-        counts.withColumn("_base", F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .join(targets, ["_src", "_none"])
-        .select(*bucket, "_base", "source_size", "target", "rate", offset.alias("_u"))
-    )
-    rank = F.col("_base") + F.row_number().over(Window.partitionBy(*bucket).orderBy("_size", F.col("_id").asc_nulls_first()))
-    upto = lambda k: F.floor(F.col("_u") + F.col("rate") * k)
-    copies = F.least(upto(F.col("_rank")) - upto(F.col("_rank") - 1), F.ceil(F.lit(float(most))))
-    return (
-        rows.join(placed, bucket)
-        .withColumn("_rank", rank)
-        .select(
-            *(F.col(f"`{c}`") for c in own),
-            F.col("_size").alias(f"{prefix}size"),
-            F.col("source_size").alias(f"{prefix}source_size"),
-            F.col("target").alias(f"{prefix}target"),
-            copies.cast("long").alias(f"{prefix}copies"),
-        )
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (names start with ``prefix``).
+
+    ``tie`` tells rows of equal source, size and id apart: by default a digest of the row.
+    """
+    source = F.col(f"`{source_col}`")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.coalesce(source, F.lit("")).alias("src"),
+        source.isNull().alias("none"),
+        size.cast("long").alias("size"),
+        (digest(docs) if tie is None else tie).alias("tie"),
     )
+    names = [f"{prefix}{x}" for x in ("size", "source_size", "target", "copies")]
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in names]
+    results = [F.col(x).alias(name) for x, name in zip(("size", "source_size", "target", "copies"), names, strict=True)]
+    return _ranked(rows, weights, share, most, seed).select(*kept, *results)
 
 
-def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    mixed = systematic_mix(docs, word_count(F.col(f"`{text_col}`")), prefix="_mix_", **options)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``.
+
+    Ranks are found for (id, source, size, digest); copies then meet the documents by
+    their digest. Rows of one digest count as equal: they share their copies.
+    """
+    scratch, key = Scratch(docs.sparkSession, "mixing"), digest(docs)
+    narrow = scratch.cut(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), key.alias("tie")), "sizes")
+    mixed = systematic_mix(narrow, F.col("size"), id_col="id", tie=F.col("tie"), **options)
+    taken = scratch.cut(mixed.groupBy(F.col("tie").alias("key")).agg(F.sum("mix_copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"), "taken")
+    own = [F.col("row")[c].alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key")).join(taken, "key")
+    share = F.col("copies")
+    if not taken.filter("rows > 1").isEmpty():
+        turn = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).otherwise(1)
+        share = F.floor(F.col("copies") / F.col("rows")) + (turn <= F.col("copies") % F.col("rows")).cast("long")
+    return rows.withColumn("share", share).select(F.explode(F.array_repeat(F.col("row"), F.col("share").cast("int"))).alias("row")).select(*own)

@@ -1,14 +1,11 @@
-"""DuckDB SQL for the ``opN_*`` queries that SQL can express."""
+"""DuckDB SQL for the ``opN_*`` queries that SQL can express, with patterns and lists of its own."""
 
 from __future__ import annotations
 
-from . import licenses, secrets
-
-#: Operator 7. Ranks stand in the same order as the operator's; one slot holds up to 200,000 documents.
+#: Operator 7. Ranks stand in the same order as the operator's: by size class, slot, size, id and digest.
 OP7 = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-slots AS (SELECT greatest(1, (count(*) + 199999) // 200000) AS n FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(text, '')), 1, 16) AS tie FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
@@ -24,74 +21,81 @@ goal AS (
 placed AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, g.u,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), coalesce(d.doc_id % (SELECT n FROM slots), 0), d.size, d.doc_id NULLS FIRST) AS k
+         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 16 + ((d.size >> greatest(length(bin(d.size)) - 5, 0)) & 15), substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || tie), 1, 2), d.size, d.doc_id NULLS FIRST, tie) AS k
   FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
 taken AS (SELECT *, least(floor(u + rate * k) - floor(u + rate * (k - 1)), 2)::BIGINT AS copies FROM placed)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM taken
 """
 
-_TEMPLATES = ", ".join(f"({t}, '{label}', {sorted(set(text.split()))})" for t, (label, text) in enumerate(licenses.TEMPLATES))
-_PLACES = " OR ".join(
-    "(" + " AND ".join(f"w[i+{k + 1}] = '{word}'" for k, word in enumerate(p.split())) + f" AND '{label}' = x)" for p, label in licenses.PHRASES
-)
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: Operator 2, by comparing every line with every template.
+#: Operator 2, by trying every run of words that begins at a template's word. ``l``: words of the longest run; ``tell``: words that must be there.
 OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-words AS (SELECT r, doc_id, text, {_WORDS.format("text")} AS w FROM d),
-places AS (
-  SELECT *, list_filter(range(0, len(w)), lambda i: {" OR ".join("(" + " AND ".join(f"w[i+{k + 1}] = '{word}'" for k, word in enumerate(p.split())) + ")" for p, _ in licenses.PHRASES)}) AS hit
-  FROM words),
-base AS (
-  SELECT r, doc_id, len(w)::BIGINT AS n_words, len(hit)::BIGINT AS n_base, list_min(hit)::BIGINT AS first_word, list_max(hit)::BIGINT AS last_word,
-         list_filter([{", ".join(f"'{label}'" for _, label in licenses.PHRASES)}], lambda x: len(list_filter(hit, lambda i: {_PLACES})) > 0) AS base
-  FROM places),
-blocks AS (SELECT r, {_WORDS.format("line")} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-t(t, label, ws) AS (VALUES {_TEMPLATES}),
-found AS (
-  SELECT r, label, len(list_intersect(list_distinct(b), ws)) / len(ws)::DOUBLE AS held FROM blocks, t
-  WHERE len(list_intersect(list_distinct(b), ws)) >= greatest(1, ceil(round({licenses.THRESHOLD} * len(ws), 9)))),
-more AS (SELECT r, list(DISTINCT label) AS labels, max(held) AS held FROM found GROUP BY r)
-SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
-       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(held, 0.0::DOUBLE) END AS score
-FROM base LEFT JOIN more USING (r)
+words AS (SELECT r, doc_id, {_WORDS.format("text")} AS w FROM d),
+phrases(label, p) AS (VALUES ('gpl', ['gnu', 'general', 'public', 'license']), ('apache', ['apache', 'license']), ('cc-by', ['cc', 'by']), ('mit', ['mit', 'license'])),
+hits AS (SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS pos FROM words, phrases WHERE len(list_intersect(w, p)) = len(p)),
+base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY r),
+wording(label, text) AS (VALUES
+  ('gpl', 'this work is licensed under the gnu general public license version 3'),
+  ('gpl', 'you can redistribute it and or modify it under the terms of the gnu general public license'),
+  ('lgpl', 'under the terms of the gnu lesser general public license'),
+  ('agpl', 'licensed under the gnu affero general public license'),
+  ('apache', 'licensed under the apache license version 2 0'),
+  ('mit', 'released under the mit license'),
+  ('mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files'),
+  ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  ('mpl', 'this source code form is subject to the terms of the mozilla public license'),
+  ('isc', 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted'),
+  ('cc-by', 'licensed under cc by 4 0'),
+  ('cc-by-nc', 'licensed under cc by nc 4 0'),
+  ('cc-by-sa', 'licensed under cc by sa 4 0'),
+  ('cc0', 'the person has waived all copyright and related or neighboring rights to this work'),
+  ('unlicense', 'this is free and unencumbered software released into the public domain'),
+  ('reserved', 'copyright all rights reserved no part may be reproduced without permission')),
+t AS (
+  SELECT row_number() OVER () AS t, label, list_distinct(string_split(text, ' ')) AS ws, len(string_split(text, ' ')) + greatest(2, len(string_split(text, ' ')) // 4) AS l,
+         list_filter(list_distinct(string_split(text, ' ')), lambda x: x IN ('affero', 'apache', 'by', 'cc', 'general', 'gnu', 'lesser', 'mit', 'mozilla', 'nc', 'sa')) AS tell FROM wording),
+near AS (SELECT r, t, label, ws, l, tell, w FROM words, t WHERE len(list_intersect(list_distinct(w), ws)) >= ceil(0.8 * len(ws))),
+runs AS (SELECT r, t, label, ws, tell, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(ws, w[i])), lambda i: list_intersect(list_distinct(w[i : i + l - 1]), ws))) AS held FROM near),
+found AS (SELECT r, label, len(held) / len(ws)::DOUBLE AS share FROM runs WHERE len(held) >= ceil(0.8 * len(ws)) AND len(list_intersect(held, tell)) = len(tell)),
+more AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM words LEFT JOIN base USING (r) LEFT JOIN more USING (r)
 """
 
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _least() -> str:
-    out = "NULL::DOUBLE"
-    for _, pattern, bits in reversed(secrets.CLASSES):
-        here = "NULL::DOUBLE" if bits is None else f"{bits}::DOUBLE"
-        out = f"CASE WHEN regexp_matches(m, {_quoted(pattern)}) THEN {here} ELSE {out} END" if pattern else here
-    return out
-
-
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PATTERNS = (("assign", _ASSIGN, 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("entropy", "[A-Za-z0-9+/_=-]+", 0, 20))
 _RULES = " UNION ALL ".join(
-    f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_split_to_array(text, {_quoted(p)}) AS gaps, regexp_extract_all(text, {_quoted(p)}) AS ms, regexp_extract_all(text, {_quoted(p)}, {g}) AS gs, {n} AS least FROM d WHERE regexp_matches(text, {_quoted(q)})"
-    for k, (kind, p, g, n, q) in enumerate([(*rule, secrets.QUICK[rule[0]]) for rule in secrets.RULES] + [("entropy", secrets.CANDIDATE, 0, secrets.WINDOW, secrets.CANDIDATE[:-1] + f"{{{secrets.WINDOW}}}")])
+    f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS ms, regexp_extract_all(text, '{p}', {g}) AS gs, {n} AS least FROM d WHERE regexp_matches(text, '{p}')"
+    for k, (kind, p, g, n) in enumerate(_PATTERNS)
 )
 
 #: Operator 6: places from the text between matches, entropy of each window afresh.
-OP6 = f"""
+OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 hits AS ({_RULES}),
 one AS (SELECT r, k, kind, gaps, ms, gs, least, unnest(range(1, len(ms) + 1)) AS i FROM hits),
 long AS (SELECT * FROM one WHERE len(gs[i]) >= least),
 spans AS (
   SELECT r, k, kind, ms[i] AS m, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: len(x))), 0))::BIGINT AS s FROM long),
+asked AS (
+  SELECT *, kind || ':' || s || ':' || (s + len(m)) AS text,
+         CASE WHEN regexp_matches(m, '^[0-9_=+/-]+$') THEN 3.05
+              WHEN regexp_matches(m, '^[0-9a-f]+$') OR regexp_matches(m, '^[0-9A-F]+$') THEN 2.93
+              WHEN regexp_matches(m, '^[A-Za-z+/]+={{1,2}}$') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN 3.73
+              WHEN regexp_matches(m, '^[a-z]+$') OR regexp_matches(m, '^[A-Z]+$') OR regexp_matches(m, '^[A-Z][a-z]+$') OR regexp_matches(m, '^[A-Za-z]+([-_/=+]+[A-Za-z]*)+$') THEN 3.8
+              ELSE 3.73 END::DOUBLE AS bits
+  FROM spans),
 kept AS (
-  SELECT *, kind || ':' || s || ':' || (s + len(m)) AS text FROM spans
-  WHERE k < {len(secrets.RULES)} OR (NOT regexp_matches(m, {_quoted(secrets.ALLOW)}) AND
-    list_max(list_transform(range(1, len(m) - {secrets.WINDOW} + 2), lambda i: list_entropy(string_split(substr(m, i, {secrets.WINDOW}), '')))) >= {_least()})),
+  SELECT * FROM asked
+  WHERE k < 3 OR (NOT regexp_matches(m, '(?i)example|sample|placeholder|dummy|changeme|xxxx|1234567890|abcdefghij|^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') AND
+    list_max(list_transform(range(1, len(m) - 18), lambda i: list_entropy(string_split(substr(m, i, 20), '')))) >= bits)),
 per AS (
   SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-         string_agg(text, ',' ORDER BY s, k) FILTER (k < {len(secrets.RULES)}) AS base, string_agg(text, ',' ORDER BY s, k) AS spans
+         string_agg(text, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(text, ',' ORDER BY s, k) AS spans
   FROM kept GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

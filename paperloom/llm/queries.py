@@ -65,8 +65,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import systematic_mix, word_count
 
     docs = typed(table(spark, sf_dir, "documents"), doc_id="long", source="string", text="string")
-    sized = Scratch(spark, "op7").cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    mixed = systematic_mix(sized, F.col("size"))
+    sized = Scratch(spark, "op7").cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 16).alias("tie")), "sizes")
+    mixed = systematic_mix(sized, F.col("size"), tie=F.col("tie"))
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 

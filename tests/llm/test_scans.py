@@ -20,7 +20,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return P.path("byte_bpe_50k.json"), t
 
 
@@ -45,6 +44,27 @@ def test_encoder_equals_library(tokenizer):
         assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in some]
 
 
+def test_pieces_of_equal_code_are_told_apart(tokenizer, monkeypatch):
+    path, t = tokenizer
+    monkeypatch.setattr(token_files, "_CODES", np.ones_like(token_files._CODES))  # a piece's code is its length
+    enc = token_files.Encoder(path)
+    for some in (["ab cd ef"], ["ab ab ab"], ["xy xy xy", "ab"], ["ab ab"]):
+        ids, counts = enc.encode([x.encode() for x in some])
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in some]
+
+
+def test_cache_of_pieces_is_bounded(tokenizer, monkeypatch):
+    path, t = tokenizer
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 200_000)
+    enc = token_files.Encoder(path)
+    random.seed(8)
+    for _ in range(30):
+        text = " ".join("%x" % random.randrange(1 << 40) for _ in range(1000))
+        ids, _ = enc.encode([text.encode()])
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+        assert enc.known.bytes() < 500_000
+
+
 def test_token_files(spark, frame, tokenizer):
     path, t = tokenizer
     docs = frame(ODD, ids=[5, 3, 9, 1, 0, 2, 4, 6, 7, 8, 10, 11, 11, None])
@@ -175,7 +195,7 @@ def test_mixing(spark, frame):
     random.seed(2)
     texts = ["w " * random.randint(0, 60) for _ in range(900)] + [None, ""]
     sources = ["hot" if k % 3 else f"s{k % 7}" for k in range(900)] + [None, "empty"]
-    m = mixing.systematic_mix(frame(texts, sources), mixing.word_count(F.col("text")), bucket_rows=100).collect()
+    m = mixing.systematic_mix(frame(texts, sources), mixing.word_count(F.col("text"))).collect()
     total = sum(r.mix_size for r in m)
     by = {}
     for r in m:
@@ -198,8 +218,43 @@ def test_mixing(spark, frame):
     for s, rows in by.items():
         assert rows[0].mix_target == pytest.approx(want[s])
         assert abs(sum(r.mix_copies * r.mix_size for r in rows) - want[s]) <= 60 * 8
-    again = mixing.systematic_mix(frame(texts, sources), mixing.word_count(F.col("text")), bucket_rows=100).collect()
+    again = mixing.systematic_mix(frame(texts, sources), mixing.word_count(F.col("text"))).collect()
     assert sorted((r.doc_id, r.mix_copies) for r in m) == sorted((r.doc_id, r.mix_copies) for r in again)
-    docs = mixing.mixed_documents(frame(texts, sources), bucket_rows=100)
+    docs = mixing.mixed_documents(frame(texts, sources))
     assert docs.columns == frame(["x"]).columns and docs.count() == sum(r.mix_copies for r in m)
     assert mixing.systematic_mix(frame(["x"]).limit(0), F.lit(1)).count() == 0
+    assert mixing.mixed_documents(frame(["x"]).limit(0)).count() == 0
+
+
+def test_mixing_with_clashing_columns_and_repeated_rows(spark, frame):
+    texts = ["a b c"] * 40 + ["d e"] * 3 + ["long " * 30_000, None, ""]
+    ids = [None] * 20 + [5] * 20 + list(range(6))
+    docs = frame(texts, ["a", "b"] * 23, ids)
+    for name in ("target", "source_size", "_size", "size", "rate", "_rank", "copies", "row", "key", "tie", "src", "none", "class", "slot", "u", "n"):
+        docs = docs.withColumn(name, F.lit(7))
+    m = mixing.systematic_mix(docs, mixing.word_count(F.col("text")))
+    assert m.columns == [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    rows = m.collect()
+    assert len(rows) == 46 and all(r.target == r._size == r.rate == r.key == 7 for r in rows)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    count = lambda df: sorted((str(r.doc_id), r.source, len(r.text or ""), r["count"]) for r in df.groupBy("doc_id", "source", "text").count().collect())
+    got = count(out)
+    assert got == count(mixing.mixed_documents(docs.repartition(7)))
+    assert sum(x[-1] for x in got) == sum(r.mix_copies for r in mixing.systematic_mix(docs, mixing.word_count(F.col("text")), tie=mixing.digest(docs)).collect())
+    assert [c for c in mixing.systematic_mix(docs, F.lit(1), prefix="").columns if c in ("size", "target")] == ["size", "target"]
+
+
+def test_mixing_does_not_depend_on_other_sources(spark, frame):
+    random.seed(7)
+    texts = ["w " * random.randint(1, 60) for _ in range(300)]
+    alone = {r.doc_id: r.mix_copies for r in mixing.systematic_mix(frame(texts, ["a"] * 300), mixing.word_count(F.col("text")), share=0.5).collect()}
+    both = mixing.systematic_mix(frame(texts + texts, ["a"] * 300 + ["b"] * 300), mixing.word_count(F.col("text")), weights=(1,), share=0.5).collect()
+    assert alone == {r.doc_id: r.mix_copies for r in both if r.source == "a"}
+
+
+def test_licenses_that_only_begin_alike(spark, frame):
+    texts = ["gnu general assembly met", "see cc bylaws", "x apache licenses y", "mit licensed", "MIT License mit licensed", "\u212anown cc by", "MIT L\u0130CENSE", "released under the m\u0130t license"]
+    r = licenses.scan_licenses(frame(texts)).orderBy("doc_id").collect()
+    assert [(x.n_base, x.first_word, x.last_word) for x in r] == [(0, None, None)] * 4 + [(1, 0, 0), (1, 1, 1), (0, None, None), (0, None, None)]
+    assert r[7].labels == ""
