@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows per Arrow batch handed to Python. Whole texts can be long, so a batch is
-#: kept to a few MB; Python then works on slices of one batch.
+#: Rows and bytes per Arrow batch handed to Python: a batch ends at whichever comes
+#: first (a single longer text is a batch of its own).
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_ready(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Rows per Arrow batch from here on: few where texts are carried, more for rows of numbers."""
+    """Limits of Arrow batches from here on: few rows where texts are carried, more for rows of numbers.
+
+    The session keeps them, since results are evaluated after an operator returns.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 class Scratch:
@@ -124,6 +129,20 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], (off - off[0]).astype(np.int64)
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, max_bytes: int) -> DataFrame:
+    """The rows of ``sample`` (id and others; its size is bounded) with the text of their document.
+
+    Of several documents of one id the least text counts. Texts are taken whole, in
+    the order of their id's hash, until the next would exceed ``max_bytes`` in all.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(sample.select("id")), "id")
+    rows = scratch.cut(ids.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(sample), "id"), "labelled")
+    held = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = rows.select("id", F.sum(F.octet_length("text")).over(held).alias("held")).filter(F.col("held") <= max_bytes).select("id")
+    return rows.join(F.broadcast(fits), "id")
+
+
 def typed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; so extra columns cannot clash."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))

@@ -18,9 +18,11 @@ alone.
 
 Edge cases: null text counts as empty and yields only the end id; an empty table
 yields an empty dataset; a null ``doc_id`` sorts first; repeated rows are kept,
-each with its own range (ties in ``doc_id`` are ordered by their ids' bytes);
-columns other than ``doc_id`` and the text column are ignored. The strings of
-special tokens in a text are ordinary text.
+each with its own range (ties in ``doc_id`` are ordered by length, then by their
+ids' bytes);
+columns other than ``doc_id`` and the text column are ignored; very long texts
+are encoded whole. The string of a special token in a text becomes that token, as
+the library does by itself.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_ready, binary_column, binary_parts, ragged_take, slices, utf8
 
-#: Distinct pieces of text that one worker keeps encoded.
-CACHE_PIECES = 1_500_000
+#: Bytes of encoded pieces that one worker keeps.
+CACHE_BYTES = 64 << 20
 #: Bytes of text encoded at once by one worker.
 SLICE_BYTES = 1 << 20
 
@@ -55,15 +57,80 @@ _LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklm
 _LATIN = np.isin(np.arange(256), [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)])
 
 
+class Pieces:
+    """Pieces of text that are known, with their ids: flat arrays, so that a piece costs a few tens of bytes.
+
+    Codes are sorted in a large part and a small one; new codes go to the small one,
+    which is merged into the large one when it has grown to a share of it. ``front``
+    holds the last piece seen for each value of a code's highest bits.
+    """
+
+    FRONT_BITS = 19
+
+    def __init__(self, dtype: np.dtype):
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.ids, self.ends = np.zeros(0, dtype), np.zeros(1, np.int64)
+        self.raw, self.cuts = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.n = 0
+        self.front = np.zeros(1 << self.FRONT_BITS, np.uint64), np.full(1 << self.FRONT_BITS, -1, np.int32)
+
+    def seen(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each code's piece if ``front`` has it, else -1."""
+        slot = (codes >> np.uint64(64 - self.FRONT_BITS)).astype(np.int32)
+        return np.where(self.front[0][slot] == codes, self.front[1][slot], -1)
+
+    def note(self, codes: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (codes >> np.uint64(64 - self.FRONT_BITS)).astype(np.int32)
+        self.front[0][slot], self.front[1][slot] = codes, numbers
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each code's piece, -1 where it is not known."""
+        out = np.full(len(codes), -1, np.int32)
+        for known, number in self.parts:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                out = np.where(known[at] == codes, number[at], out)
+        return out
+
+    @staticmethod
+    def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(array):
+            array = np.concatenate([array[:used], np.zeros(used // 4 + len(more) + 1024, array.dtype)])
+        array[used : used + len(more)] = more
+        return array
+
+    def add(self, codes: np.ndarray, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = self.n, len(codes)
+        self.ids = self._grown(self.ids, int(self.ends[n]), ids)
+        self.raw = self._grown(self.raw, int(self.cuts[n]), raw)
+        self.ends = self._grown(self.ends, n + 1, self.ends[n] + np.cumsum(counts))
+        self.cuts = self._grown(self.cuts, n + 1, self.cuts[n] + np.cumsum(sizes))
+        self.n = n + k
+        large, small = self.parts
+        small = self._merged(small, (codes, np.arange(n, n + k, dtype=np.int32)))
+        if len(small[0]) > 4096 + len(large[0]) // 8:
+            large, small = self._merged(large, small), (small[0][:0], small[1][:0])
+        self.parts = [large, small]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+    def bytes(self) -> int:
+        return self.ids.nbytes + self.raw.nbytes + self.ends.nbytes + self.cuts.nbytes + sum(a.nbytes + b.nbytes for a, b in self.parts)
+
+
 class Encoder:
     """Ids of whole texts, through a cache of pieces.
 
     The pre-tokenizer of a byte-level BPE never joins text across a single space
     or line feed between visible characters, so the ids of a text without other
     white space are those of its pieces, cut before each space, around each line
-    feed and between a letter and a sign. Pieces are told apart by a 64-bit code
-    that numpy computes for all of them at once; each new one is given to the
-    library. Other texts go to the library whole.
+    feed and between a letter and a sign. Pieces are found by a 64-bit code that
+    numpy computes for all of them at once and then compared byte by byte; each new
+    one is given to the library. Other texts, and those with the string of a
+    special token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -72,15 +139,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.starts = np.zeros(1 << 14, np.int64)
+        self.known = Pieces(self.dtype)
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.dtype)
 
     def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and their numbers. They are joined by line feeds, whose id parts the result."""
@@ -96,25 +164,14 @@ class Encoder:
             sizes.append(np.diff(ends, prepend=-1) - 1)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, codes: list[int], pieces: list[str]) -> None:
-        if "\n" in pieces:  # it comes first, so that the others can be joined by it
-            k = pieces.index("\n")
-            self._append([codes.pop(k)], np.array(self.line, self.dtype), np.array([len(self.line)]))
-            pieces.pop(k)
+    def _learn(self, codes: np.ndarray, pieces: list[bytes]) -> None:
+        if b"\n" in pieces:  # it comes first, so that the others can be joined by it
+            k = pieces.index(b"\n")
+            self.known.add(codes[k : k + 1], np.array(self.line, self.dtype), np.array([len(self.line)]), np.array([10], np.uint8), np.array([1]))
+            codes, pieces = np.delete(codes, k), pieces[:k] + pieces[k + 1 :]
         if pieces:
-            self._append(codes, *self._library(pieces))
-
-    def _append(self, codes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.index)
-        used = int(self.starts[n])
-        need = used + len(ids)
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.zeros(2 * need - used, self.dtype)])
-        if n + len(sizes) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts[: n + 1], np.zeros(n + 2 * len(sizes) + 1, np.int64)])
-        self.flat[used:need] = ids
-        self.starts[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
-        self.index.update(zip(codes, range(n, n + len(sizes)), strict=True))
+            ids, counts = self._library([p.decode() for p in pieces])
+            self.known.add(codes, ids, counts, np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]))
 
     def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of non-empty texts whose white space is plain, and their numbers."""
@@ -130,38 +187,53 @@ class Encoder:
         size = np.diff(np.append(first, len(raw)))
         place = np.arange(len(raw), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
         code = np.add.reduceat(_CODES.take(((place & (_PLACES - 1)) << 8) | raw), first)
-        long = np.flatnonzero(size > _PLACES)
-        for k in long.tolist():
+        for k in np.flatnonzero(size > _PLACES).tolist():
             code[k] = xxhash.xxh3_64_intdigest(joined[first[k] : first[k] + size[k]])
-        uniq, one, inverse = np.unique(code, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        new = [k for k, c in enumerate(keys) if c not in self.index]
-        if new:
-            at = one[new]
-            spans = zip(first[at].tolist(), (first[at] + size[at]).tolist(), strict=True)
-            self._learn([keys[k] for k in new], [joined[a:b].decode() for a, b in spans])
-        key = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[inverse]
-        starts = self.starts[key]
-        lengths = self.starts[key + 1] - starts
-        ids = ragged_take(self.flat, starts, lengths)
+        key = self.known.seen(code)
+        miss = np.flatnonzero(key < 0)
+        if len(miss):
+            uniq, one, inverse = np.unique(code[miss], return_index=True, return_inverse=True)
+            number = self.known.find(uniq)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                at = miss[one[new]]
+                spans = zip(first[at].tolist(), (first[at] + size[at]).tolist(), strict=True)
+                self._learn(uniq[new], [joined[a:b] for a, b in spans])
+                number = self.known.find(uniq)
+            self.known.note(uniq, number)
+            key[miss] = number[inverse]
+        if not self._same(raw, first, size, key):
+            rows = [self._whole(t) for t in texts]
+            return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+        starts = self.known.ends[key]
+        lengths = self.known.ends[key + 1] - starts
+        ids = ragged_take(self.known.ids, starts, lengths)
         total = np.concatenate([[0], np.cumsum(lengths)])[np.append(np.searchsorted(first, begins), len(first))]
         return ids, np.diff(total)
 
-    @staticmethod
-    def _all_plain(texts: list[bytes]) -> bool:
+    def _same(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray) -> bool:
+        """Whether each piece equals, byte by byte, the known one that its code has found."""
+        begin = self.known.cuts[key]
+        if not np.array_equal(self.known.cuts[key + 1] - begin, size):
+            return False
+        there = np.repeat((begin - first).astype(np.int32), size)
+        there += np.arange(len(raw), dtype=np.int32)
+        return np.array_equal(self.known.raw.take(there), raw)
+
+    def _all_plain(self, texts: list[bytes]) -> bool:
         """The test of ``encode`` for all texts at once; a line feed after each shows white space at its end."""
         whole = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(whole, np.uint8)
         white = (raw == 32) | (raw == 10)
-        return not (white[1:] & white[:-1]).any() and not any(x in whole for x in _ODD if x not in (b"  ", b" \n", b"\n ", b"\n\n"))
+        return not (white[1:] & white[:-1]).any() and not any(x in whole for x in _ODD if x not in (b"  ", b" \n", b"\n ", b"\n\n")) and not any(x in whole for x in self.special)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (UTF-8) in a row, and the number of ids of each."""
-        if len(self.index) > CACHE_PIECES:
+        if self.known.bytes() > CACHE_BYTES:
             self.clear()
         if texts and all(texts) and self._all_plain(texts):
             return self._cut(texts)
-        plain = [bool(t) and t[-1] not in b" \n" and not any(x in t for x in _ODD) for t in texts]
+        plain = [bool(t) and t[-1] not in b" \n" and not any(x in t for x in (*_ODD, *self.special)) for t in texts]
         if all(plain) and texts:
             return self._cut(texts)
         rows: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
@@ -172,7 +244,7 @@ class Encoder:
                 rows[k] = part
         for k, p in enumerate(plain):
             if not p and texts[k]:
-                rows[k] = np.array(self.tokenizer.encode_batch_fast([texts[k].decode()], add_special_tokens=False)[0].ids, self.dtype)
+                rows[k] = self._whole(texts[k])
         return np.concatenate(rows) if rows else np.zeros(0, self.dtype), np.array([len(r) for r in rows], np.int64)
 
 
@@ -304,7 +376,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
                 )
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col("doc_id").asc_nulls_first(), F.crc32("ids")]
+    by = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens")]
     (
         ids.repartitionByRange(n, *by)
         .sortWithinPartitions(*by, "ids")
