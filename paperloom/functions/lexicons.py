@@ -64,7 +64,7 @@ INTENTS = (
         r"(authorities|staff|imf).*(view|opinion|assess|recommend)", r"what (should|must|needs to)")),
     ("NUMERIC_LOOKUP", (
         r"(what|how).*(rate|growth|balance|deficit|surplus|gdp|inflation|percent|%).*\b(20\d{2})\b",
-        r"\b(20\d{2})\b.*(rate|growth|balance|deficit|surplus|gdp|inflation|percent|%)",
+        r"\b(20\d{2})\b.*(what|how).*(rate|growth|balance|deficit|surplus|gdp|inflation|percent|%)",
         r"how (much|many).*(percent|%|billion|million|rate)", r"what (is|was|are|were) (the|qatar'?s?)\s+\w+.*(rate|growth|%|percent).*\b(20\d{2})\b")),
     ("TEXT_SUMMARY", (
         r"\b(explain|describe|summarize|outline)\b", r"\b(summary|overview|synopsis)\b", r"tell me (about|regarding)",

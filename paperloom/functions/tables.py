@@ -69,11 +69,11 @@ def linear_text(grid: Column) -> Column:
 
 
 def to_markdown(grid: Column) -> Column:
-    """the first row as header, short rows padded."""
-    width = F.array_max(F.transform(grid, lambda row: F.size(row)))
-    full = lambda row: F.concat(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), width - F.size(row)))
+    """the first row as header, shorter rows padded to its length."""
+    width = F.size(F.get(grid, 0))
+    full = lambda row: F.concat(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(row))))
     line = lambda row: F.concat(F.lit("| "), F.array_join(full(row), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
     rest = F.transform(F.slice(grid, F.lit(2), F.greatest(F.lit(0), F.size(grid) - 1)), line)
     return F.array_join(F.concat(F.array(line(F.get(grid, 0)), rule), rest), "\n")
 

@@ -131,24 +131,29 @@ def section_path(hierarchy: Column) -> Column:
     return F.array_join(F.filter(levels, lambda x: ~x.isin("", "Document")), " > ")
 
 
-def citations(modality: Column, document: Column, page: Column, hierarchy: Column, table_id: Column, figure_id: Column, marker: Column) -> dict[str, Column]:
-    """short, section and full citations."""
+def citations(modality: Column, page: Column, hierarchy: Column, paragraph: Column, name: Column, title: Column, marker: Column, note: Column) -> dict[str, Column]:
+    """short, section and full citations. ``name`` and ``title`` are a table's or a figure's."""
     p = F.concat(F.lit("Page "), page.cast("string"))
+    boxed = lambda *parts: F.concat(F.lit("["), *parts, F.lit("]"))
+    named = F.coalesce(F.nullif(name, F.lit("")), F.initcap(F.lower(modality)))
+    is_named, is_note, comma = modality.isin("TABLE", "FIGURE"), (modality == "FOOTNOTE") & (F.coalesce(marker, F.lit("")) != ""), F.lit(", ")
+    short = F.when(is_named, boxed(named, comma, p)).when(is_note, boxed(F.lit("Footnote "), marker, comma, p)).otherwise(boxed(p))
     last = F.array_join(F.slice(hierarchy, F.greatest(F.lit(1), F.size(hierarchy) - 1), F.lit(2)), " > ")
-    named = lambda x: F.concat(x, F.lit(" ("), p, F.lit(")"))
-    short = (
-        F.when((modality == "TABLE") & (table_id != ""), named(table_id))
-        .when((modality == "FIGURE") & (figure_id != ""), named(figure_id))
-        .when((modality == "FOOTNOTE") & (marker != ""), F.concat(F.lit("Footnote "), marker, F.lit(" ("), p, F.lit(")")))
-        .otherwise(p)
+    place = F.when(F.coalesce(paragraph, F.lit(0)) > 0, F.concat(F.lit("Para "), paragraph.cast("string"))).otherwise(p)
+    section = F.when(is_named, short).when(F.size(hierarchy) > 0, boxed(last, comma, place)).otherwise(boxed(p))
+    full = (
+        F.when(is_named, F.concat(named, F.lit(": "), F.coalesce(title, F.lit("")), comma, p))
+        .when(is_note, F.concat(F.lit("Footnote "), marker, comma, p, F.lit(": "), F.substring(note, 1, 50), F.lit("...")))
+        .when(modality == "TEXT", F.when(F.size(hierarchy) > 0, F.concat(F.get(hierarchy, F.size(hierarchy) - 1), comma, p)).otherwise(p))
+        .otherwise(F.concat(modality, comma, p))
     )
-    section = F.when(last != "", F.concat(last, F.lit(", "), p)).otherwise(p)
-    return {"citation_short": short, "citation_section": section, "citation_full": F.concat(document, F.lit(", "), section)}
+    return {"citation_short": short, "citation_section": section, "citation_full": full}
 
 
 def citation_form(table_id: Column, figure_id: Column, page: Column) -> Column:
-    """table, figure or page."""
-    return F.coalesce(F.nullif(table_id, F.lit("")), F.nullif(figure_id, F.lit("")), F.concat(F.lit("Page "), page.cast("string")))
+    """table or figure, and page."""
+    name = F.coalesce(F.nullif(table_id, F.lit("")), F.nullif(figure_id, F.lit("")))
+    return F.concat_ws(", ", name, F.concat(F.lit("Page "), page.cast("string")))
 
 
 # --- sentences --------------------------------------------------------------

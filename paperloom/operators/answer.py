@@ -22,21 +22,31 @@ CITATION = "struct<citation_id:string,chunk_id:string,page_number:int,modality:s
 #: Columns of an answer besides query_id, query and intent.
 FIELDS = "answer_text string, answer_type string, confidence string, citations array<struct>, sources_used int, sources_available int"
 
-_REASONS = {
+# What guards say, and why a rule finds nothing.
+NO_CHUNKS = "No relevant documents retrieved."
+NO_ALLOWED = "No chunks match allowed modalities."
+WHICH_TABLE = "Multiple tables detected. Please specify a table number (e.g., 'Show me Table 1')."
+WHICH_SUMMARY = "Please specify what you want summarized (for example, “Summarize the economic outlook”)."
+REASONS = {
     "NUMERIC_LOOKUP": "No matching numeric value found.",
-    "TABLE_LOOKUP": "No matching table found.",
+    "TABLE_LOOKUP": "No table number specified.",
     "TEXT_SUMMARY": "Insufficient summary-quality content found.",
     "POLICY_QUESTION": "No policy recommendation found.",
-    "UNKNOWN": "The question is outside this document's domain.",
+    "UNKNOWN": "The retrieved documents do not contain information related to this topic.",
 }
 
 
+def _allowed() -> Column:
+    """Modalities of each intent in order of preference."""
+    return F.create_map(*(x for k, (ms, _) in L.GUARDRAILS.items() for x in (F.lit(k), F.array(*(F.lit(m) for m in ms)))))
+
+
 def guard(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """Chunks of modalities that the intent allows, by preference and then rank; ``pos`` counts from 1."""
-    allowed = F.create_map(*(x for k, (ms, _) in L.GUARDRAILS.items() for x in (F.lit(k), F.array(*(F.lit(m) for m in ms)))))
+    allowed = _allowed()
     window = F.create_map(*(x for k, (_, n) in L.GUARDRAILS.items() for x in (F.lit(k), F.lit(n))))
     q = queries.select("query_id", "query", T.intent(F.col("query")).alias("intent"))
-    c = ranked.join(F.broadcast(q), "query_id").withColumn("preference", F.array_position(allowed[F.col("intent")], F.col("modality")))
+    c = ranked.join(q, "query_id").withColumn("preference", F.array_position(allowed[F.col("intent")], F.col("modality")))
     kept = c.filter(F.col("preference") > 0)
     kept = kept.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("preference", "rank")))
     return kept.withColumn("available", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).withColumn("window", window[F.col("intent")])
@@ -150,27 +160,31 @@ def rule_answers(queries: DataFrame, ranked: DataFrame, parity: bool = False) ->
     """One answer for each question: guards first, then the rule of its intent, else a refusal."""
     guarded = guard(ranked, queries)
     found = numeric_answers(guarded).unionByName(table_answers(guarded, parity)).unionByName(policy_answers(guarded)).unionByName(summary_answers(guarded)).unionByName(fallback_answers(guarded))
-    counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"))
+    counts = ranked.join(queries.select("query_id", T.intent(F.col("query")).alias("_intent")), "query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved"), F.count_if(F.array_contains(_allowed()[F.col("_intent")], F.col("modality"))).alias("usable"))
     q = queries.select("query_id", "query").withColumn("intent", T.intent(F.col("query")))
     out = q.join(found, "query_id", "left").join(counts, "query_id", "left")
-    prompt = F.when(T.asks_for_tables(F.col("query")) & ~F.regexp_like(F.lower("query"), F.lit(r"table\s*\d")), "Please specify which table you want (for example, “Table 1”).").when(
-        (F.col("intent") == "TEXT_SUMMARY") & T.underspecified(F.col("query")), "Please specify what you want summarized (for example, “Summarize the economic outlook”)."
-    )
-    reason = F.create_map(*(F.lit(x) for pair in _REASONS.items() for x in pair))[F.col("intent")]
-    reason = F.when(F.coalesce("retrieved", F.lit(0)) == 0, F.lit("No relevant content was retrieved.")).otherwise(reason)
-    ok = prompt.isNull() & F.col("answer_text").isNotNull()
+    usable, number = F.coalesce("usable", F.lit(0)), F.nullif(F.regexp_extract(F.lower("query"), r"table\s*(\d+)", 1), F.lit(""))
+    missing = F.when((F.col("intent") == "TABLE_LOOKUP") & number.isNotNull(), F.concat(F.lit("Table "), number, F.lit(" not found."))).otherwise(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))[F.col("intent")])
+    unknown = (F.col("intent") == "UNKNOWN") & ~T.in_domain(F.col("query"))
+    # Guards in their order: no chunks, none of an allowed modality, tables in general, a summary of nothing in particular.
+    guard_of = F.when(F.coalesce("retrieved", F.lit(0)) == 0, 1).when(usable == 0, 2).when(T.asks_for_tables(F.col("query")), 3).when((F.col("intent") == "TEXT_SUMMARY") & T.underspecified(F.col("query")), 4).otherwise(0)
+    out = out.withColumn("guard", guard_of)
+    ok = (F.col("guard") == 0) & F.col("answer_text").isNotNull()
     pick = lambda c, other: F.when(ok, F.col(c)).otherwise(other)
+    refusal = lambda reason: F.concat(F.lit("I cannot answer this question. "), reason)
+    said = F.when(F.col("guard") == 1, refusal(F.lit(NO_CHUNKS))).when(F.col("guard") == 2, refusal(F.lit(NO_ALLOWED))).when(F.col("guard") == 3, WHICH_TABLE).when(F.col("guard") == 4, WHICH_SUMMARY)
+    seen = F.when(F.col("guard") == 3, F.col("retrieved")).when((F.col("guard") == 4) | ((F.col("guard") == 0) & unknown), usable).otherwise(0)
     return out.select(
         F.substring(F.sha2(F.concat_ws("|", "query_id", "query"), 256), 1, 8).alias("answer_id"),
         "query_id",
         "query",
-        "intent",
-        F.when(prompt.isNotNull(), prompt).when(F.col("answer_text").isNotNull(), F.col("answer_text")).otherwise(F.concat(F.lit("I cannot answer this question. "), reason)).alias("answer_text"),
+        F.when(F.col("guard") == 3, "TABLE_LOOKUP").otherwise(F.col("intent")).alias("intent"),
+        F.coalesce(said, F.when(ok, F.col("answer_text")), refusal(missing)).alias("answer_text"),
         pick("answer_type", F.lit("NOT_FOUND")).alias("answer_type"),
         pick("confidence", F.lit("NONE")).alias("confidence"),
         pick("citations", F.array().cast(f"array<{CITATION}>")).alias("citations"),
         pick("sources_used", F.lit(0)).alias("sources_used"),
-        pick("sources_available", F.when(prompt.isNotNull(), F.coalesce("retrieved", F.lit(0))).otherwise(0).cast("int")).alias("sources_available"),
+        pick("sources_available", seen.cast("int")).alias("sources_available"),
     )
 
 
@@ -186,12 +200,16 @@ Model = Callable[[str], str]
 REPLY = "answer string, cited_chunks array<int>, confidence string, reasoning string"
 
 
-def prompts(queries: DataFrame, ranked: DataFrame, most: int = 10, chars: int = 2000, instruction: str = "Answer from the chunks only. Reply in JSON with answer, cited_chunks, confidence and reasoning.") -> DataFrame:
-    """One prompt for each question, of its first chunks, cut in length. A briefing differs by its instruction and ``most``."""
-    head = lambda c: F.concat(F.lit("[CHUNK "), F.col(c).cast("string"), F.lit("] (Page "), F.col("page_number").cast("string"), F.lit(", "), "modality", F.lit(", "), F.coalesce("section_path", F.lit("")), F.lit(")"))
-    few = ranked.filter(F.col("rank") <= most).withColumn("part", F.concat(head("rank"), F.lit("\n"), F.substring("content", 1, chars)))
-    joined = few.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("n_chunks"))
-    return queries.select("query_id", "query").join(joined, "query_id").select("query_id", "query", "n_chunks", F.concat(F.lit(instruction + "\n\n"), "context", F.lit("\n\nQuestion: "), "query").alias("prompt"))
+# How a prompt is put together.
+QUESTION, INSTRUCTION = "\n\nQUESTION: ", "\n\nGenerate a grounded answer using ONLY the context above. Output valid JSON."
+
+
+def prompts(queries: DataFrame, ranked: DataFrame, most: int = 10, chars: int = 2000, instruction: str = INSTRUCTION) -> DataFrame:
+    """One prompt for each question, of its first chunks (numbered from 0), cut in length. A briefing differs by its instruction and ``most``."""
+    head = F.concat(F.lit("[CHUNK "), (F.col("rank") - 1).cast("string"), F.lit("] (Page "), F.coalesce(F.col("page_number").cast("string"), F.lit("?")), F.lit(", "), "modality", F.lit(", "), F.coalesce("section_path", F.lit("")), F.lit(")"))
+    few = ranked.filter(F.col("rank") <= most).withColumn("part", F.concat(head, F.lit("\n"), F.substring("content", 1, chars)))
+    joined = few.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n---\n\n").alias("context"), F.count(F.lit(1)).alias("n_chunks"))
+    return queries.select("query_id", "query").join(joined, "query_id").select("query_id", "query", "n_chunks", F.concat(F.lit("CONTEXT:\n"), "context", F.lit(QUESTION), "query", F.lit(instruction)).alias("prompt"))
 
 
 def parse_reply(raw: Column) -> Column:
@@ -232,14 +250,14 @@ def model_answers(queries: DataFrame, ranked: DataFrame, models: list[Model], pa
         text = F.coalesce(text, F.col(f"_m{k}.text"), error)
     said = out.select("query_id", "n_chunks", parse_reply(text).alias("r")).filter("r is not null")
     refused = (F.coalesce("r.answer", F.lit("")) == "") | F.contains(F.lower("r.answer"), F.lit("do not contain"))
-    cited = said.select("query_id", F.posexplode_outer("r.cited_chunks").alias("at", "rank")).join(ranked.select("query_id", "rank", "chunk_id", "page_number", "modality", "section_path", "table_id", "figure_id", "content"), ["query_id", "rank"])
+    cited = said.select("query_id", F.posexplode_outer("r.cited_chunks").alias("at", "chunk")).withColumn("rank", F.col("chunk") + 1).join(ranked.select("query_id", "rank", "chunk_id", "page_number", "modality", "section_path", "table_id", "figure_id", "content"), ["query_id", "rank"])
     one = F.struct("at", F.struct(F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")).alias("citation_id"), "chunk_id", F.col("page_number").cast("int").alias("page_number"), "modality", "section_path", "table_id", "figure_id", F.substring("content", 1, 100).alias("quoted_text")).cast(CITATION).alias("c"))
     cites = cited.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("cites"))
     m = said.join(cites, "query_id", "left").select(
         "query_id",
         F.col("r.answer").alias("_text"),
-        F.when(refused, "NOT_FOUND").otherwise("DIRECT").alias("_type"),
-        F.when(refused, "NONE").when(F.lower("r.confidence") == "high", "HIGH").when(F.lower("r.confidence") == "medium", "MEDIUM").otherwise("LOW").alias("_conf"),
+        F.when(refused, "NOT_FOUND").when(F.size("cites") > 0, "DIRECT").otherwise("PARTIAL").alias("_type"),
+        F.when(refused, "NONE").when(F.lower("r.confidence").isin("high", "low", "none"), F.upper("r.confidence")).otherwise("MEDIUM").alias("_conf"),
         F.coalesce("cites", F.array().cast(f"array<{CITATION}>")).alias("_cites"),
         F.col("n_chunks").cast("int").alias("_n"),
     )

@@ -25,13 +25,13 @@ def page_range(df: DataFrame, first: int | None = None, last: int | None = None)
 
 
 def text_blocks(spans: DataFrame) -> DataFrame:
-    """Spans joined to blocks; the most common font size and font; bold by majority."""
+    """Spans joined to blocks; the most common font size and font (of ties the least); bold by majority."""
     box = G.union("_b")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "span_no", "text"))), lambda s: s["text"]), " ")
     g = spans.withColumn("_b", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).groupBy(*PAGE, "block_no").agg(
         joined.alias("text"),
-        F.mode("font_size").alias("font_size"),
-        F.mode("font_name").alias("font_name"),
+        F.mode("font_size", deterministic=True).alias("font_size"),
+        F.mode("font_name", deterministic=True).alias("font_name"),
         (F.count_if("is_bold") * 2 > F.count(F.lit(1))).alias("is_bold"),
         box.alias("_b"),
         F.max("page_width").alias("page_width"),
@@ -98,7 +98,7 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     return out.select(*PAGE, "text", "bbox", *(F.col(f"_f.{c}").alias(c) for c in first), "merged")
 
 
-def as_blocks(rows: DataFrame, modality: str, phase: int, *, position: str, content: Column, hashed: Column | None = None, confidence: Column | None = None, warnings: Column | None = None, **structs: Column) -> DataFrame:
+def as_blocks(rows: DataFrame, modality: str, phase: int, *, position: str, content: Column, hashed: Column | None = None, confidence: Column | None = None, warnings: Column | None = None, title: Column | None = None, note: Column | None = None, **structs: Column) -> DataFrame:
     """Rows of one kind as blocks: ids, sections, citations, order (texts, tables, figures, notes)."""
     none = F.lit(None).cast("string")
     hierarchy = F.array(T.section_of_page(F.col("page_number")))
@@ -106,8 +106,8 @@ def as_blocks(rows: DataFrame, modality: str, phase: int, *, position: str, cont
     for name in ("text_metadata", "table_metadata", "figure_metadata", "footnote"):
         r = r.withColumn(f"_{name}", (structs[name] if name in structs else F.lit(None)).cast(S.BLOCKS[name].dataType))
     r = r.withColumn("_pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy(position)) - 1).withColumn("_h", hierarchy)
-    empty = F.lit("")
-    cites = T.citations(F.lit(modality), F.col("document_id"), F.col("page_number"), F.col("_h"), F.coalesce("_table_metadata.table_id", empty), F.coalesce("_figure_metadata.figure_id", empty), F.coalesce("_footnote.marker", empty))
+    empty, name = F.lit(""), F.coalesce("_table_metadata.table_id", "_figure_metadata.figure_id", F.lit(""))
+    cites = T.citations(F.lit(modality), F.col("page_number"), F.col("_h"), F.col("_text_metadata.paragraph_number"), name, empty if title is None else title, F.col("_footnote.marker"), F.col("_content") if note is None else note)
     hashed = F.col("_content") if hashed is None else hashed
     values = {
         "block_id": T.block_id(F.col("document_id"), F.col("page_number"), F.lit(modality), hashed, F.col("_pos")),
@@ -145,9 +145,9 @@ def tables_to_blocks(grids: DataFrame) -> DataFrame:
     md = F.when(F.size("grid") > 0, X.to_markdown(F.col("grid"))).otherwise(F.lit(""))
     content = F.when((title != "") & (md != ""), F.concat(title, F.lit("\n\n"), md)).otherwise(F.concat(title, md))
     meta = F.struct(X.table_id(title).alias("table_id"), title.alias("table_title"), X.units(title).alias("units"), X.footnote_refs(F.col("grid")).alias("footnote_refs"))
-    hashed = F.coalesce(F.nullif(title, F.lit("")), F.nullif(X.linear_text(F.col("grid")), F.lit("")), F.concat(F.lit("table_"), F.col("table_no").cast("string")))
+    hashed = F.coalesce(F.nullif(title, F.lit("")), F.nullif(X.linear_text(F.col("grid")), F.lit("")), F.concat_ws("_", F.lit("table"), F.col("page_number").cast("string"), F.col("table_no").cast("string")))
     failed = F.coalesce("error", F.lit("")) != ""
-    return as_blocks(grids, "TABLE", 1, position="table_no", content=content, hashed=hashed, confidence=F.when(failed, 0.5).otherwise(1.0), warnings=F.when(failed, F.array("error")).otherwise(F.array().cast("array<string>")), table_metadata=meta)
+    return as_blocks(grids, "TABLE", 1, position="table_no", content=content, hashed=hashed, confidence=F.when(failed, 0.5).otherwise(1.0), warnings=F.when(failed, F.array("error")).otherwise(F.array().cast("array<string>")), title=title, table_metadata=meta)
 
 
 def figures(images: DataFrame, least: int = 100) -> DataFrame:
@@ -161,6 +161,36 @@ def figures(images: DataFrame, least: int = 100) -> DataFrame:
     )
 
 
+def text_near(boxes: DataFrame, spans: DataFrame, key: str, above: float = 50.0, below: float = 0.0, beside: float = 0.0) -> DataFrame:
+    """(document_id, page_number, ``key``, text_above, text_below): the spans in a band of so many points above and below a box, as wide as the box and ``beside``.
+
+    ``boxes`` have x0 to y1 in page units. The join is by document and page.
+    """
+    b = boxes.select(*PAGE, key, *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+    s = spans.select(*PAGE, "block_no", "line_no", "span_no", "text", "x0", "y0", "x1", "y1")
+    within = (F.col("x0") >= F.col("b_x0") - beside) & (F.col("x1") <= F.col("b_x1") + beside)
+    over = (F.col("y0") >= F.greatest(F.lit(0.0), F.col("b_y0") - above)) & (F.col("y1") <= F.col("b_y0"))
+    under = (F.col("y0") >= F.col("b_y1")) & (F.col("y1") <= F.col("b_y1") + below)
+    near = b.join(s, PAGE).filter(within & (over | under)).withColumn("_over", over)
+    words = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part, F.struct("block_no", "line_no", "span_no", "text")))), lambda x: x["text"]), " ")
+    found = near.groupBy(*PAGE, key).agg(words(F.col("_over")).alias("text_above"), words(~F.col("_over")).alias("text_below"))
+    return boxes.select(*PAGE, key).join(found, [*PAGE, key], "left").select(*PAGE, key, F.coalesce("text_above", F.lit("")).alias("text_above"), F.coalesce("text_below", F.lit("")).alias("text_below"))
+
+
+def figure_regions(spans: DataFrame, images: DataFrame, deep: float = 300.0) -> DataFrame:
+    """Figures that are no images: spans that name one, outside all images, with the region below them.
+
+    Without an id there is no figure; what is found has confidence 0.8.
+    """
+    where = G.normalize(G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), F.col("page_width"), F.col("page_height"))
+    named = spans.filter(F.contains("text", F.lit("Figure"))).withColumn("bbox", where).withColumn("figure_id", T.figure_id(F.col("text"))).filter("figure_id is not null")
+    there = images.select(*PAGE, F.col("bbox").alias("_image"))
+    free = named.join(there, (named["document_id"] == there["document_id"]) & (named["page_number"] == there["page_number"]) & G.intersects(F.col("bbox"), F.col("_image")), "left_anti")
+    bottom = F.least(F.col("y1") + deep, F.col("page_height") * 0.9)
+    region = G.normalize(G.box(F.col("x0") - 10, F.col("y0"), F.col("page_width") * 0.9, bottom), F.col("page_width"), F.col("page_height"))
+    return free.select(*PAGE, "figure_id", F.trim("text").alias("title"), F.lit("VECTOR").alias("figure_type"), region.alias("bbox"), F.lit(0.8).alias("extraction_confidence"), F.array(F.lit("Rendered from vector graphics")).alias("extraction_warnings"))
+
+
 def ocr_lines(words: DataFrame, least: float = 60.0) -> DataFrame:
     """Words that are sure enough, as lines: a new one where the line number changes; labels sorted."""
     w = Window.partitionBy(*PAGE, "image_no").orderBy("word_no")
@@ -184,10 +214,11 @@ def figures_to_blocks(figs: DataFrame, labels: DataFrame | None = None) -> DataF
         figs = figs.withColumn("labels", F.lit(None).cast("array<string>")).withColumn("ocr_confidence", F.lit(None).cast("double"))
     some = F.slice(F.coalesce("labels", F.array().cast("array<string>")), 1, 10)
     parts = F.filter(F.array(F.col("title"), F.coalesce(F.trim("text_below"), F.lit("")), F.when(F.size(some) > 0, F.concat(F.lit("Labels: "), F.array_join(some, ", "))).otherwise("")), lambda x: x != "")
-    content = F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(F.concat(F.lit("Figure on page "), F.col("page_number").cast("string")))
+    content = F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(F.concat(F.lit("Figure on page "), F.col("page_number").cast("string")))
+    hashed = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.trim("text_below"), F.lit("")), F.concat_ws("_", F.lit("figure"), F.col("page_number").cast("string"), F.col("figure_no").cast("string")))
     meta = F.struct("figure_id", "figure_type", "image_path", F.col("text_below").alias("caption"), F.array().cast("array<string>").alias("panel_titles"))
     sure = F.when(F.col("ocr_confidence").isNotNull(), 0.8 + 0.2 * F.col("ocr_confidence") / 100).otherwise(1.0)
-    return as_blocks(figs, "FIGURE", 2, position="figure_no", content=content, confidence=sure, figure_metadata=meta)
+    return as_blocks(figs, "FIGURE", 2, position="figure_no", content=content, hashed=hashed, confidence=sure, title=F.col("title"), figure_metadata=meta)
 
 
 def footnotes(raw: DataFrame, band: float = 0.85) -> DataFrame:
@@ -206,7 +237,8 @@ def footnotes_to_blocks(notes: DataFrame) -> DataFrame:
     """F17, F19."""
     meta = F.struct("marker", T.normalize_marker(F.col("marker")).alias("normalized_marker"))
     rows = notes.withColumnRenamed("content", "_note").withColumn("_text", F.concat(F.lit("["), F.col("marker"), F.lit("] "), F.col("_note")))
-    return as_blocks(rows, "FOOTNOTE", 3, position="note_no", content=F.col("_text"), footnote=meta)
+    hashed = F.coalesce(F.nullif(F.col("_note"), F.lit("")), F.col("marker"))
+    return as_blocks(rows, "FOOTNOTE", 3, position="note_no", content=F.col("_text"), hashed=hashed, note=F.col("_note"), footnote=meta)
 
 
 def ingest(spans: DataFrame, grids: DataFrame, images: DataFrame, words: DataFrame | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, top_k: int | None = None,
     """
     asked = queries.select("query_id", "query", "expected_modality", "q_table_id", "q_figure_id", "section_hint")
     parts = signals(cfg)
-    out = candidates.join(F.broadcast(asked), "query_id").select(*(F.col(c) for c in candidates.columns), *(F.round(v, 12).alias(f"s_{n}") for n, v in parts.items()))
+    out = candidates.join(asked, "query_id").select(*(F.col(c) for c in candidates.columns), *(F.round(v, 12).alias(f"s_{n}") for n, v in parts.items()))
     out = out.withColumn("final_score", F.round(F.col("score") + sum((F.col(f"s_{n}") for n in parts), F.lit(0.0)), 12))
     out = out.withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "rank")))
     out = out.withColumn("rank_change", F.col("rank") - F.col("final_rank"))

@@ -27,8 +27,8 @@ def blocks_from(rows: DataFrame) -> DataFrame:
     for f in S.BLOCKS:
         if f.name in ("table_metadata", "figure_metadata", "footnote") and f.name not in have:
             r = r.withColumn(f.name, none(f))
-    empty = F.lit("")
-    cites = T.citations(F.col("modality"), F.col("document_id"), F.col("page_number"), F.col("_h"), F.coalesce("table_metadata.table_id", empty), F.coalesce("figure_metadata.figure_id", empty), F.coalesce("footnote.marker", empty))
+    name, paragraph = F.coalesce("table_metadata.table_id", "figure_metadata.figure_id", F.lit("")), F.lit(None).cast("int")
+    cites = T.citations(F.col("modality"), F.col("page_number"), F.col("_h"), paragraph, name, F.col("table_metadata.table_title"), F.col("footnote.marker"), F.col("content"))
     derived = {
         "block_id": T.block_id(F.col("document_id"), F.col("page_number"), F.col("modality"), F.col("content"), F.col("ord")),
         "section_hierarchy": F.col("_h"),

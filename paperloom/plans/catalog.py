@@ -12,6 +12,7 @@ from ..functions import tables as X
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import answer, chunk, evaluate, index, ingest, link, rerank, retrieve, validate
+from ..sources.store import stored
 from . import adapters as A
 from . import fixtures as FX
 
@@ -254,19 +255,19 @@ def modality_protect(spark, sf):
 
 @query
 def hybrid_retrieve(spark, sf):
-    return retrieve.retrieve(_questions(spark), A.whole_index(spark, sf), 5, "hybrid").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "modality", "page_number")
+    return retrieve.retrieve(_questions(spark), stored(A.whole_index(spark, sf), "index"), 5, "hybrid").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "modality", "page_number")
 
 
 @query
 def rerank_fused(spark, sf):
-    r = retrieve.retrieve(_questions(spark), A.whole_index(spark, sf), 5, "reranked")
+    r = retrieve.retrieve(_questions(spark), stored(A.whole_index(spark, sf), "index"), 5, "reranked")
     parts = F.array_join(F.array_sort(F.map_keys("score_components")), ",")
     return r.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), parts.alias("signals"))
 
 
 def _reranked(spark: SparkSession, sf: str) -> DataFrame:
     q = _questions(spark)
-    return rerank.rerank(retrieve.hybrid(q, A.whole_index(spark, sf), 4), q)
+    return rerank.rerank(retrieve.hybrid(q, stored(A.whole_index(spark, sf), "index"), 4), q)
 
 
 @query
@@ -281,7 +282,7 @@ def rank_movers(spark, sf):
 
 @query
 def verify_rank(spark, sf):
-    r = retrieve.retrieve(_questions(spark), A.whole_index(spark, sf), 10, "hybrid")
+    r = retrieve.retrieve(_questions(spark), stored(A.whole_index(spark, sf), "index"), 10, "hybrid")
     return retrieve.table_rank(r, "Table 1", 39)
 
 
@@ -407,6 +408,43 @@ def summary_select(spark, sf):
     return _flat(answer.summary_answers(answer.guard(m, q)))
 
 
+@query
+def fallback_answer(spark, sf):
+    q, m = A.ranked_prose(spark, "Which sector matters?")
+    return _flat(answer.fallback_answers(answer.guard(m, q)))
+
+
+@query
+def rule_answers(spark, sf):
+    q = FX.load(spark, "questions")
+    m = A.ranked_prose(spark, "")[1].drop("query_id").crossJoin(q.select("query_id"))
+    a = answer.rule_answers(q, m)
+    return a.select("answer_id", "query_id", "query", "intent", "answer_text", "answer_type", "confidence", F.size("citations").alias("n_citations"), "sources_used", "sources_available")
+
+
+@query
+def prompts(spark, sf):
+    q, m = A.ranked_prose(spark, "Summarize the economic outlook")
+    return answer.prompts(q, m).select("query_id", "n_chunks", "prompt")
+
+
+@query
+def reply_parse(spark, sf):
+    r = FX.load(spark, "replies").select("id", answer.parse_reply(F.col("raw")).alias("r")).filter("r is not null")
+    return r.select("id", "r.answer", "r.confidence", F.array_join(F.col("r.cited_chunks").cast("array<string>"), ",").alias("cited"))
+
+
+@query
+def citation_forms(spark, sf):
+    b = FX.load(spark, "linkable")
+    return b.select("block_id", T.citation_form(F.col("table_id"), F.col("figure_id"), F.col("page_number")).alias("form"))
+
+
+@query
+def display_table(spark, sf):
+    return FX.load(spark, "markdown").select("id", X.display_table(F.col("content")).alias("display"))
+
+
 @query
 def policy_sentence(spark, sf):
     q, m = A.ranked_prose(spark, "What policy does staff recommend?")
@@ -441,9 +479,9 @@ def citation_registry(spark, sf):
 @query
 def answer_end_to_end(spark, sf):
     """Blocks, chunks, index, reranked retrieval and rules, for a batch of questions."""
-    ix = index.build_index(chunk.chunk_blocks(A.all_blocks(spark, sf)))
+    ix = stored(index.build_index(chunk.chunk_blocks(A.all_blocks(spark, sf))), "index")
     q = _questions(spark)
-    ranked = retrieve.retrieve(q, ix, 10, "reranked").persist()  # a few rows for each question, read by every rule
+    ranked = stored(retrieve.retrieve(q, ix, 10, "reranked"), "ranked")  # a few rows for each question, read by every rule
     a = answer.rule_answers(q, ranked)
     return a.select("answer_id", "query_id", "query", "intent", "answer_text", "answer_type", "confidence", F.size("citations").alias("n_citations"), "sources_used", "sources_available")
 
@@ -457,6 +495,71 @@ def paragraph_merge(spark, sf):
     return ingest.merge_paragraphs(s).select("page_number", "block_no", "text", "merged", F.round("bbox.y1", 4).alias("y1"))
 
 
+def _grids_of_pages(spark: SparkSession) -> DataFrame:
+    cells = FX.load(spark, "raw_cells").groupBy("document_id", "page_number", "table_no", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "cell"))), lambda x: x["cell"]).alias("row"))
+    grid = cells.groupBy("document_id", "page_number", "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("grid"))
+    none = F.array().cast("array<array<string>>")
+    return FX.load(spark, "raw_tables").join(grid, ["document_id", "page_number", "table_no"], "left").withColumn("grid", F.coalesce("grid", none)).withColumn("error", F.col("error").cast("string"))
+
+
+def _images_of_pages(spark: SparkSession) -> DataFrame:
+    return FX.load(spark, "raw_images").withColumn("bbox", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+
+
+@query
+def text_blocks(spark, sf):
+    b = ingest.text_blocks(FX.load(spark, "raw_spans"))
+    return b.select("page_number", "block_no", "text", "font_size", "font_name", "is_bold", "heading_level", "text_type", "paragraph_number", "is_header_footer", F.round("bbox.x0", 4).alias("x0"), F.round("bbox.y1", 4).alias("y1"))
+
+
+@query
+def text_to_blocks(spark, sf):
+    b = ingest.text_to_blocks(ingest.text_blocks(FX.load(spark, "raw_spans")))
+    meta = [F.col(f"text_metadata.{c}").alias(c) for c in ("text_type", "heading_level", "paragraph_number", "has_cross_references")]
+    return b.select("block_id", "page_number", "position_in_section", "content", *meta, F.array_join("section_hierarchy", ">").alias("section"), "citation_section")
+
+
+@query
+def table_to_blocks(spark, sf):
+    b = ingest.tables_to_blocks(_grids_of_pages(spark))
+    return b.select("block_id", "content", "table_metadata.table_id", "table_metadata.units", F.array_join("table_metadata.footnote_refs", ",").alias("refs"), "extraction_confidence", F.array_join("extraction_warnings", ",").alias("warnings"))
+
+
+@query
+def figure_to_blocks(spark, sf):
+    b = ingest.figures_to_blocks(ingest.figures(_images_of_pages(spark)), ingest.ocr_lines(FX.load(spark, "raw_words")))
+    return b.select("block_id", "content", "figure_metadata.figure_id", F.round("extraction_confidence", 4).alias("confidence"))
+
+
+@query
+def footnote_to_blocks(spark, sf):
+    b = ingest.footnotes_to_blocks(ingest.footnotes(ingest.text_blocks(FX.load(spark, "raw_spans"))))
+    return b.select("block_id", "content", "footnote.marker", "footnote.normalized_marker", "citation_short", "citation_full")
+
+
+@query
+def superscript_markers(spark, sf):
+    return ingest.superscripts(FX.load(spark, "raw_spans")).select("page_number", "marker", F.round("bbox.x0", 4).alias("x0"))
+
+
+@query
+def ingest_blocks(spark, sf):
+    return ingest.ingest(FX.load(spark, "raw_spans"), _grids_of_pages(spark), _images_of_pages(spark), FX.load(spark, "raw_words")).select("block_id", "modality", "content", "ord")
+
+
+@query
+def table_titles(spark, sf):
+    boxes = FX.load(spark, "raw_tables").select("document_id", "page_number", "table_no", F.col("tx0").alias("x0"), F.col("ty0").alias("y0"), F.col("tx1").alias("x1"), F.col("ty1").alias("y1"))
+    near = ingest.text_near(boxes, FX.load(spark, "raw_spans"), "table_no")
+    return near.select("page_number", "table_no", "text_above", X.table_id(F.col("text_above")).alias("table_id"))
+
+
+@query
+def figure_regions(spark, sf):
+    r = ingest.figure_regions(FX.load(spark, "raw_spans"), _images_of_pages(spark))
+    return r.select("page_number", "figure_id", "title", "extraction_confidence", F.round("bbox.y1", 4).alias("bottom"))
+
+
 @query
 def bbox_ops(spark, sf):
     b = FX.load(spark, "boxes").select("id", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("a"), G.box(F.col("u0"), F.col("v0"), F.col("u1"), F.col("v1")).alias("b"))

@@ -124,6 +124,56 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
             (7, 11, "Staff Report", "Short. The authorities' stance is important for the economic outlook."),
         ],
     ),
+    "raw_spans": (
+        "document_id, page_number, block_no, line_no, span_no, text, font_size, font_name, is_bold, x0, y0, x1, y1, page_width, page_height",
+        [
+            ("d", p, b, ln, sp, text, size, font, bold, 50.0, y, 300.0, y + 10.0, 600.0, 800.0)
+            for p, b, ln, sp, text, size, font, bold, y in (
+                (1, 0, 0, 0, "INTERNATIONAL MONETARY FUND", 9.5, "F1", False, 10.0),
+                (1, 1, 0, 0, "CONTEXT", 14.0, "F2", True, 60.0),
+                (1, 2, 0, 0, "1. Growth rose in the", 10.0, "F1", False, 90.0),
+                (1, 2, 1, 0, "ﬁrst half and invest-\n ment", 10.0, "F1", False, 100.0),
+                (1, 2, 1, 1, "fell", 9.0, "F2", True, 110.0),
+                (1, 3, 0, 0, "while trade   held", 10.0, "F1", False, 125.0),
+                (1, 4, 0, 0, "GDP too.", 10.0, "F1", False, 140.0),
+                (1, 5, 0, 0, "• a bullet", 10.0, "F1", False, 200.0),
+                (1, 6, 0, 0, "Table 2. Data (Percent)", 10.0, "F1", False, 300.0),
+                (1, 7, 0, 0, "1/ A note on data", 8.0, "F1", False, 700.0),
+                (1, 8, 0, 0, "Source: staff", 8.0, "F1", False, 715.0),
+                (1, 9, 0, 0, "17", 8.0, "F1", False, 785.0),
+                (2, 0, 0, 0, "Bold title", 12.0, "F2", True, 60.0),
+                (2, 0, 0, 1, "here", 11.0, "F1", True, 60.0),
+                (2, 1, 0, 0, "3", 6.0, "Fsuper", False, 75.0),
+                (2, 2, 0, 0, "Text Figure 8. Exports, see Table 2", 10.0, "F1", False, 100.0),
+                (2, 3, 0, 0, "Figure 3. Growth trend", 10.0, "F1", False, 400.0),
+                (2, 4, 0, 0, "A Figure of speech", 10.0, "F1", False, 450.0),
+            )
+        ],
+    ),
+    "raw_tables": (
+        "document_id, page_number, table_no, title, error, tx0, ty0, tx1, ty1",
+        [("d", 1, 0, "Table 2. Data (Percent)", None, 50.0, 320.0, 550.0, 400.0), ("d", 1, 1, "", "cells lost", 50.0, 500.0, 550.0, 520.0), ("d", 2, 0, None, None, 50.0, 600.0, 550.0, 700.0)],
+    ),
+    "raw_cells": (
+        "document_id, page_number, table_no, r, c, cell",
+        [
+            *[("d", 1, 0, r, c, v) for r, row in enumerate((("", "2023", "2024"), ("GDP 1/", "1.5", None), ("CPI **", "3", "4"))) for c, v in enumerate(row)],
+            *[("d", 2, 0, r, c, v) for r, row in enumerate((("a", "b"), ("c", "d"))) for c, v in enumerate(row)],
+        ],
+    ),
+    "raw_images": (
+        "document_id, page_number, image_no, width, height, image_path, text_above, text_below, x0, y0, x1, y1",
+        [
+            ("d", 2, 0, 500, 400, "p.png", "Text Figure 8. Exports", "Source: staff", 0.08, 0.11, 0.9, 0.3),
+            ("d", 2, 1, 50, 400, "s.png", "Figure 9", "", 0.1, 0.4, 0.2, 0.45),
+            ("d", 2, 2, 300, 200, "q.png", "", "", 0.1, 0.6, 0.5, 0.8),
+        ],
+    ),
+    "raw_words": (
+        "document_id, page_number, image_no, word_no, line_no, text, confidence",
+        [("d", 2, 0, 1, 1, "GDP", 90.0), ("d", 2, 0, 2, 1, "growth", 80.0), ("d", 2, 0, 3, 2, "2023", 95.0), ("d", 2, 0, 4, 2, "blur", 40.0), ("d", 2, 0, 5, 3, "2023", 70.0)],
+    ),
+    "replies": ("id, raw", [(1, '```json\n{"answer": "Yes.", "cited_chunks": [0, 2], "confidence": "high"}\n```'), (2, "plain text"), (3, 'Sure: {"answer": "No", "cited_chunks": []}'), (4, None), (5, "{broken")]),
     "cites": ("query_id, pos, chunk_id", [("q1", 1, "c3"), ("q1", 2, "c1"), ("q1", 3, "c3"), ("q1", 4, "c2"), ("q2", 1, "c1"), ("q2", 2, "c1")]),
     "spans": (
         "document_id, page_number, block_no, text, font_size, y0, y1, kind, para",

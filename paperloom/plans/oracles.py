@@ -56,7 +56,8 @@ SQL["document_structure"] = f"SELECT {_STRUCT.replace('{i}', 'doc_id')} FROM doc
 SQL["header_footer_filter"] = f"""WITH {cte('page_items')} SELECT id, text FROM page_items WHERE NOT (y / height < 0.05 OR y / height > 0.95 OR regexp_matches(trim(text), '(?i)^INTERNATIONAL MONETARY FUND$|^QATAR$|^\\d{{1,3}}$|^IMF Country Report'))"""
 SQL["section_citations"] = f"""
 WITH {DOC_BLOCKS}, s AS (SELECT *, {SECTION.format(p="page_number")} AS section FROM doc_blocks)
-SELECT ord, section, 'Policies > Risks' AS path, 'Page ' || page_number AS citation_short, section || ', Page ' || page_number AS citation_section, document_id || ', ' || section || ', Page ' || page_number AS citation_full FROM s"""
+SELECT ord, section, 'Policies > Risks' AS path, CASE WHEN modality = 'TABLE' THEN '[Table, Page ' ELSE '[Page ' END || page_number || ']' AS citation_short,
+ CASE WHEN modality = 'TABLE' THEN '[Table, Page ' ELSE '[' || section || ', Page ' END || page_number || ']' AS citation_section, CASE WHEN modality = 'TABLE' THEN 'Table: , Page ' ELSE section || ', Page ' END || page_number AS citation_full FROM s"""
 SQL["sentence_stats"] = f"SELECT doc_id, len({SENTENCES.format(t='text')}) AS n, coalesce(list_sum(list_transform({SENTENCES.format(t='text')}, lambda s: length(s))), 0)::INT AS chars FROM documents"
 SQL["manifest"] = f"""
 WITH {DOC_BLOCKS} SELECT document_id, count(*) AS total_block_count, {", ".join(f"count(*) FILTER (modality = '{m}') AS {m.lower()}_count" for m in L.MODALITIES)},
@@ -195,7 +196,7 @@ rows AS (SELECT id, r, count(*) AS c, count(*) FILTER (num) > count(*) / 2 AS mo
 h AS (SELECT id, max(c) AS columns, count(*) AS row_count, coalesce(greatest(min(r) FILTER (mostly), 1), 1) AS h FROM rows GROUP BY id)
 SELECT h.id, h AS header_rows, row_count - h AS data_rows, columns, row_count, (SELECT count(*) FROM grids g WHERE g.id = h.id AND g.r >= h AND cell IS NULL) > 0 AS merged,
  coalesce((SELECT string_agg(DISTINCT m, ',' ORDER BY m) FROM (SELECT unnest(regexp_extract_all(cell, '(\\d+/|\\*+)', 1)) AS m FROM grids g WHERE g.id = h.id)), '') AS refs FROM h"""
-SQL["table_markdown"] = f"""WITH {cte('grids')}, l AS (SELECT id, r, '| ' || string_agg(coalesce(cell, ''), ' | ' ORDER BY c) || ' |' AS md, string_agg(coalesce(cell, ''), chr(9) ORDER BY c) AS tsv, '| ' || string_agg('---', ' | ') || ' |' AS rule FROM grids GROUP BY ALL)
+SQL["table_markdown"] = f"""WITH {cte('grids')}, l AS (SELECT id, r, '| ' || string_agg(coalesce(cell, ''), ' | ' ORDER BY c) || ' |' AS md, string_agg(coalesce(cell, ''), chr(9) ORDER BY c) AS tsv, '|' || string_agg('---', '|') || '|' AS rule FROM grids GROUP BY ALL)
 SELECT id, string_agg(CASE WHEN r = 0 THEN md || chr(10) || rule ELSE md END, chr(10) ORDER BY r) AS markdown, string_agg(tsv, chr(10) ORDER BY r) AS linear FROM l GROUP BY id"""
 _MDROWS = "list_filter(list_transform(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '|-') AND contains(x, '|')), lambda x: list_filter(list_transform(string_split(x, '|'), lambda c: trim(c)), lambda c: c <> '')), lambda r: len(r) > 0)"
 SQL["markdown_documents"] = f"WITH {DOC_BLOCKS}, r AS (SELECT ord, {_MDROWS} AS rows FROM doc_blocks WHERE modality = 'TABLE') SELECT ord, len(rows) AS rows, coalesce(list_sum(list_transform(rows, lambda r: len(r))), 0)::INT AS cells FROM r"

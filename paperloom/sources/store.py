@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,21 @@ BLOCK_EXPORT = ("block_id", "document_id", "modality", "content", "page_number",
 EDGE_EXPORT = ("relationship_id", "source_block_id", "target_block_id", "relationship_type", "reference_text")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder on storage that all executors share: below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/paperloom-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to shared storage and read from there: what several arms read is computed once, and each reads its own columns."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Parquet by document and modality, so that both prune files."""
+    """Parquet by modality, so that readers of one kind skip the files of others."""
     blocks.write.mode("append").partitionBy("modality").parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
@@ -15,9 +16,14 @@ def stream_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(S.BLOCKS).parquet(path)
 
 
-def stream_index(blocks: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Index rows of a stream of blocks; a chunk id is passed on once."""
-    return build_index(chunk_blocks(blocks, cfg)).dropDuplicates(["chunk_id"])
+def stream_index(blocks: DataFrame, cfg: ChunkConfig = ChunkConfig(), window: str = "1 day") -> DataFrame:
+    """Index rows of a stream of blocks; a chunk id is passed on once within ``window`` of its arrival.
+
+    Ids are forgotten after that, so the state stays bounded; readers of the index
+    keep the last of chunks that were added more than once (``store.open_index``).
+    """
+    arrived = build_index(chunk_blocks(blocks, cfg)).withColumn("_arrived", F.current_timestamp())
+    return arrived.withWatermark("_arrived", window).dropDuplicatesWithinWatermark(["chunk_id"]).drop("_arrived")
 
 
 def start(index: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

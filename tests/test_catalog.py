@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 
 from paperloom.plans.catalog import QUERIES
-from paperloom.plans.oracles import SQL
+from paperloom.plans import oracles, oracles_rules
 
+SQL = oracles.SQL | oracles_rules.SQL
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
 
