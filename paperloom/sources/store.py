@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,12 @@ EDGE_EXPORT = ("relationship_id", "source_block_id", "target_block_id", "relatio
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder on storage that all executors share: below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """A new folder on storage that all executors share: below ``spark.checkpoint.dir``; on one machine where that is unset, below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/paperloom-{name}-{uuid.uuid4().hex}"
 
 
