@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,18 +35,21 @@ def arrow_ready(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 class Scratch:
     """Parquet tables in the shared folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests, a laptop) a folder under the warehouse is used. Written tables cut
-    lineage and survive the loss of any executor, unlike a local checkpoint.
+    ``spark.checkpoint.dir`` is read from the session; where it is unset, a folder
+    under the warehouse is used on one machine (tests, a laptop), and on a cluster it
+    is an error. Written tables cut lineage and survive the loss of any executor,
+    unlike a local checkpoint.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.root = f"{root.rstrip('/')}/paperloom-{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._written = 0, []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -58,6 +62,7 @@ class Scratch:
         self.tidy()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._written.append(out)
         return out
 
     def tidy(self) -> None:
@@ -65,8 +70,15 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Remove all tables but these: what an operator returns reads no others."""
+        kept = {f._scratch_path for f in frames}
+        self.drop(*(f for f in self._written if f._scratch_path not in kept))
+
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that nothing will read again."""
+        gone = {f._scratch_path for f in frames}
+        self._written = [f for f in self._written if f._scratch_path not in gone]
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for frame in frames:

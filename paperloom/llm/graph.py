@@ -68,7 +68,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark or not now[0]:
             arrow_ready(spark)
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = tuple(now)
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._scratch_path = e._scratch_path
+            return out
+        mark, before = tuple(now), e
         star = _small_star(_large_star(e).distinct()).distinct()
         e = scratch.cut(star, "edges")
+        scratch.drop(before)
