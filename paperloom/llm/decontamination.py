@@ -8,15 +8,27 @@ marked first. The share of the item's words that tiles cover does not depend on
 the order of the passages, so a reordered item is caught. A document that covers
 ``threshold`` of some item is contaminated.
 
-The benchmark is the stated query set: it is sent to the workers in blocks of at
-most ``block_bytes``, and every document meets every block. Documents are read
-where they lie; nothing is shuffled.
+Seeds are joined, in these steps:
+
+1. Items become word codes; their distinct seeds form a table (seed, item).
+2. Documents are scanned where they lie. A sieve of a fixed number of bits, made
+   from all seeds of the benchmark, lets through the document's seeds that may be
+   an item's, as (text, seed, place) with the seed's own words. A text is told by
+   its digest, so copies of one text come down to one before anything is shuffled.
+3. These join the benchmark's seeds. A text and an item stay together where the
+   seeds that they share can cover enough of the item: a tile of n words holds
+   seeds at n - seed + 1 places, at least one for every ``seed`` words.
+4. Each such pair is tiled: tiles consist of seeds, so the text's stretches of
+   shared seeds suffice, with barriers between them.
+
+Documents meet what their digest has found; nothing grows with the benchmark on
+the driver or in a worker but the sieve, which ends at 64 MB.
 
 Edge cases: null and empty texts cover nothing; items without words match
 nothing; an item of fewer than ``seed`` words must stand in the document as a
-whole; repeated items and rows each count; a null item id is kept; an empty
-table yields an empty result. Other input columns are ignored or, by
-``flag_contaminated``, kept as they are.
+whole; repeated items and rows each count; a null item id is kept; ties between
+items all count; texts of any length are read whole; an empty table yields an
+empty result. Other input columns are kept, but for one named like the result.
 """
 
 from __future__ import annotations
@@ -25,15 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, extended, utf8
+from .common import Scratch, arrow_ready, utf8
 from .textcode import WordHash, shingles, words
 
 SEED = 5
 THRESHOLD = 0.5
-BLOCK_BYTES = 16 << 20
+#: Bits of the sieve: so many for each seed, and at most so many.
+SIEVE_EACH, SIEVE_MOST = 16, 1 << 29
+#: Found texts (a digest and a short list each) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
@@ -97,86 +112,156 @@ def tiles(item: list[int], doc: list[int], least: int = SEED) -> list[tuple[int,
             n = max(least, n // 2)
 
 
-class Benchmark:
-    """Seeds and words of a block of items."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]], seed: int = SEED):
-        self.seed, self.hash = seed, WordHash()
-        self.items = []
-        seeds: dict[int, dict[int, list[int]]] = {}
-        for ident, text in rows:
-            codes = self.hash.codes(words((text or "").encode()))
-            if len(codes):
-                own = seeds.setdefault(min(seed, len(codes)), {})
-                for h in set(shingles(codes, seed).tolist()):
-                    own.setdefault(h, []).append(len(self.items))
-                self.items.append((ident, codes.tolist()))
-        self.seeds = seeds
-        self.sieves = {}
-        for k, own in seeds.items():
-            sieve = np.zeros(1 << 20, bool)
-            sieve[np.fromiter(own, np.uint64, len(own)) & np.uint64((1 << 20) - 1)] = True
-            self.sieves[k] = sieve
-
-    def covered(self, codes: np.ndarray) -> list[tuple[int | None, float]]:
-        """(item id, covered share) for the items that share a seed with a document."""
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for k, own in self.seeds.items():
-            if len(codes) < k:
-                continue
-            sh = shingles(codes, k)
-            for i in np.flatnonzero(self.sieves[k][sh & np.uint64((1 << 20) - 1)]).tolist():
-                for item in own.get(int(sh[i]), ()):
-                    hits.setdefault(item, []).append((i, i + k))
-        out = []
-        for item, at in hits.items():
-            ident, want = self.items[item]
-            # Tiles consist of seeds: the document's stretches of seeds suffice, with barriers between.
-            stretch, end = [], -1
-            for a, b in at:
-                if a > end and stretch:
-                    stretch.append(-1)
-                stretch += codes[max(a, end) if a <= end else a : b].tolist()
-                end = b
-            got = tiles(want, stretch, self.seed)
-            out.append((ident, sum(n for _, _, n in got) / len(want)))
-        return out
-
-
-_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
-
-
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, out_col: str = "hits") -> DataFrame:
-    """``docs`` with ``out_col``: array<struct<item_id, coverage>> of the items that a document covers."""
+def _coded_items(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(item, id, codes): a number for each row, its id and its word codes, of items with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            codes = [known.codes(words(t)) for t in utf8(batch.column(1))]
+            some = pa.array([len(c) > 0 for c in codes])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), pa.array([c.astype("<u8").tobytes() for c in codes], pa.binary()).filter(some)], names=["id", "codes"])
+
+    return scratch.cut(items.mapInArrow(run, "id long, codes binary").withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def _item_seeds(items: DataFrame, seed: int) -> DataFrame:
+    """(k, seed, item, n, times): the distinct seeds of each item, their length, the item's words, and at how many of its places a seed stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes = np.frombuffer(raw, "<u8")
+                own, times = np.unique(shingles(codes, seed), return_counts=True)
+                full = lambda x, t: pa.array(np.full(len(own), x, t))
+                yield pa.RecordBatch.from_arrays([full(min(seed, len(codes)), np.int32), pa.array(own.view(np.int64)), full(item, np.int64), full(len(codes), np.int32), pa.array(times.astype(np.int32))], names=["k", "seed", "item", "n", "times"])
+
+    return items.select("item", "codes").mapInArrow(run, "k int, seed long, item long, n int, times int")
+
+
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """Bits of all seeds, by their lowest bits. Each partition sends the words of the sieve that it sets."""
+    size = 1 << 16
+    rows = seeds.count()
+    while size < min(SIEVE_EACH * rows, SIEVE_MOST):
+        size *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool) if size <= 1 << 22 else None
+        packed = np.zeros(size >> 3, np.uint8)
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+            if bits is not None:
+                bits[at] = True
+            else:
+                np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if bits is not None:
+            packed = np.packbits(bits, bitorder="little")
+        wide = packed.view("<i8")
+        at = np.flatnonzero(wide)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(wide[at])], names=["at", "bits"])
+
+    got = seeds.select("seed").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, "<i8")
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _text_seeds(texts: DataFrame, sieve: np.ndarray, lengths: list[int]) -> DataFrame:
+    """(key, k, seed, place, codes) of the seeds of texts (key, text) that the sieve lets through."""
+    shared = texts.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = shared.value, WordHash()
+        low = np.uint64(8 * len(bits) - 1)
+        for batch in batches:
+            keys, k_, seeds, places, parts = [], [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                codes = known.codes(words(text))
+                for k in lengths:
+                    if len(codes) < k:
+                        continue
+                    own = shingles(codes, k)
+                    place = own & low
+                    at = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        keys += [key] * len(at)
+                        k_ += [k] * len(at)
+                        seeds.append(own[at].view(np.int64))
+                        places.append(at)
+                        parts += [codes[a : a + k].astype("<u8").tobytes() for a in at.tolist()]
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.string()), pa.array(k_, pa.int32()), pa.array(np.concatenate(seeds)), pa.array(np.concatenate(places).astype(np.int64)), pa.array(parts, pa.binary())],
+                    names=["key", "k", "seed", "place", "codes"],
+                )
+
+    return texts.mapInArrow(run, "key string, k int, seed long, place long, codes binary")
+
+
+def _covered(pairs: DataFrame, seed: int) -> DataFrame:
+    """(key, id, coverage) of pairs (key, id, want, hits): the share of the item's words that tiles cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = []
+            for raw, hits in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                want = np.frombuffer(raw, "<u8").tolist()
+                stretch, end = [], -1
+                for hit in hits:
+                    a, own = hit["place"], np.frombuffer(hit["codes"], "<u8").tolist()
+                    if a > end:
+                        if stretch:
+                            stretch.append(-1)
+                        end = a
+                    stretch += own[end - a :]
+                    end = a + len(own)
+                share.append(sum(n for _, _, n in tiles(want, stretch, seed)) / len(want))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["key", "id", "coverage"])
+
+    return pairs.select("key", "id", "want", "hits").mapInArrow(run, "key string, id long, coverage double")
+
+
+def _key(text_col: str) -> Column:
+    return F.md5(F.col(f"`{text_col}`").cast("string"))
+
+
+def covered_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, hits): for the digest of each text that covers items, array<struct<item_id, coverage>>; written to shared storage."""
     spark = docs.sparkSession
     arrow_ready(spark)
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    out, columns = docs, docs.columns
-    at = columns.index(text_col)
-    schema = extended(docs, f"{out_col} array<struct<item_id:bigint,coverage:double>>")
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r.id, r.text) for r in part.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=b > 0) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value, seed)
-            cache = WordHash()
-            for batch in batches:
-                found = []
-                for text in utf8(batch.column(at)):
-                    codes = cache.codes(words(text))
-                    found.append([{"item_id": i, "coverage": c} for i, c in bench.covered(codes) if c >= threshold] if len(codes) else [])
-                own = [batch.column(k) for k in range(len(columns))]
-                if later:
-                    found = [(x or []) + y for x, y in zip(batch.column(len(columns)).to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(found, _HITS)], names=[*columns, out_col])
-
-        out = out.mapInArrow(run, schema)
+    scratch = Scratch(spark, "benchmark")
+    items = _coded_items(benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text")), scratch)
+    seeds = scratch.cut(_item_seeds(items, seed), "seeds")
+    lengths = sorted(r.k for r in seeds.select("k").distinct().collect())  # ``seed`` numbers at most
+    texts = docs.select(_key(text_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("key is not null")
+    found = scratch.cut(_text_seeds(texts, _sieve(seeds), lengths).groupBy("key", "k", "place", "seed").agg(F.first("codes").alias("codes")), "found")
+    each = found.join(seeds, ["k", "seed"]).repartition("key", "item").groupBy("key", "item", "seed").agg(F.first("times").alias("times"), F.first("n").alias("n"), F.first("k").alias("k"), F.collect_list(F.struct("place", "codes")).alias("hits"))
+    pairs = each.groupBy("key", "item").agg(F.sum("times").alias("places"), F.first("n").alias("n"), F.first("k").alias("k"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    # Covered words are threshold * n at least, and a tile of l words has l - k + 1 seeds: l / k or more.
+    enough = pairs.filter(F.col("places") * F.col("k") >= F.lit(threshold) * F.col("n") - 1e-9)
+    wanted = enough.join(items.select("item", "id", F.col("codes").alias("want")), "item")
+    hits = _covered(wanted, seed).filter(F.col("coverage") >= threshold)
+    out = scratch.cut(hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("item_id"), "coverage"))).alias("hits")), "hits")
+    scratch.keep(out)
     return out
 
 
-def flag_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def _met(docs: DataFrame, found: DataFrame, text_col: str, how: str) -> DataFrame:
+    """Rows of ``docs`` (as ``row``) joined with what their text has found."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key(text_col).alias("key"))
+    return rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "key", how)
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out_col: str = "hits", **options) -> DataFrame:
+    """``docs`` with ``out_col``: array<struct<item_id, coverage>> of the items that a document covers."""
+    found = covered_items(docs, benchmark, text_col=text_col, **options)
+    none = F.array().cast("array<struct<item_id:bigint,coverage:double>>")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c != out_col]
+    return _met(docs, found, text_col, "left").select(*own, F.coalesce("hits", none).alias(out_col))
+
+
+def flag_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that cover a benchmark item."""
-    return benchmark_hits(docs, benchmark, out_col="_hits", **options).filter(F.size("_hits") == 0).drop("_hits")
+    found = covered_items(docs, benchmark, text_col=text_col, **options)
+    return _met(docs, found.select("key"), text_col, "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))

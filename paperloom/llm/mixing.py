@@ -144,6 +144,7 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     narrow = scratch.cut(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), key.alias("tie")), "sizes")
     mixed = systematic_mix(narrow, F.col("size"), id_col="id", tie=F.col("tie"), **options)
     taken = scratch.cut(mixed.groupBy(F.col("tie").alias("key")).agg(F.sum("mix_copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"), "taken")
+    scratch.drop(narrow)
     own = [F.col("row")[c].alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key")).join(taken, "key")
     share = F.col("copies")

@@ -11,18 +11,21 @@ with a count. Each class keeps a list of its ``k`` nearest others found so far.
    place, until few lists change. Entries below ``cos(2 * acos(threshold))`` are
    left out: two vectors that both link to a third are never below it.
 3. A list is saturated when it is full of links; nearer vectors may then hide links,
-   also those that leave the component. So the components that hold one (dense) meet
-   in blocks every vector that can link with one of theirs, told by its distance to
-   the component's pivot. Only counts are kept, and which components links join.
+   also those that leave the component. Such lists are enlarged to all that there is
+   in reach: the components that hold one (dense) meet in blocks every vector that can
+   link with one of theirs, told by its distance to the component's pivot. Of these
+   lists only the counts are kept, and which components their links join, so that a
+   group of n vectors makes n rows for each of its blocks and not n * n.
 4. Links are checked in double precision. An audit compares some vectors with all
    others; while its mean recall is below ``recall``, further tables and rounds
    follow, and after ``attempts`` of them all components count as dense.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are their own component; so do vectors whose
-length is not the table's most common one; repeated rows and equal vectors link
-with each other; a null id is kept (its component is the smallest id that is
-known); an empty table yields an empty result; other columns are ignored.
+length is not the table's most common one (of ties the shortest); repeated rows and
+equal vectors link with each other; a null id is kept (its component is the smallest
+id that is known); ties in cosine stand by id; an empty table yields an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ from .graph import components
 K = 16
 TABLES = 10
 STRETCH = 256
-BLOCK = 512
+#: Rows of a block that meet at once, and of the largest blocks, of which a component has eight at least.
+BLOCK, LARGE = 512, 4096
 AUDIT = 200
 #: Dense components whose pivots are broadcast at once.
 PIVOTS = 4096
@@ -213,7 +217,7 @@ def _reaching(placed: DataFrame, dense: DataFrame, dim: int, threshold: float, s
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array((_matrix(b.column(1), dim) * _matrix(b.column(2), dim)).sum(1))], names=["component", "cosine"])
 
-    widths = members.join(pivots, "component").select("component", "vec", "pivot").mapInArrow(spread, "component long, cosine double").groupBy("component").agg(F.min("cosine").alias("cosine"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    widths = members.join(pivots, "component").select("component", "vec", "pivot").mapInArrow(spread, "component long, cosine double").groupBy("component").agg(F.min("cosine").alias("cosine"), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(BLOCK), F.least(F.lit(LARGE), F.count(F.lit(1)) / 8))).cast("int").alias("blocks"))
     pivots = scratch.cut(pivots.join(widths, "component"), "pivots")
     chunks = math.ceil(pivots.count() / PIVOTS)
     flagged = placed.join(dense.withColumn("whole", F.lit(True)), "component", "left").select("id", "component", "copies", F.coalesce("whole", F.lit(False)).alias("whole"), "vec")
@@ -365,6 +369,7 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "emb
         counted = _counted(placed, placed.select("component").distinct(), links, dim, threshold, scratch)
         if report:
             report(_audit(classes, counted, dim, threshold))
+    scratch.keep(vectors, counted)
     first = counted.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = counted.join(first, "component").select("id", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     joined = keyed.select("vec_id", F.when(F.col("vec").isNotNull(), F.col("key")).alias("id")).join(of_class, "id", "left")

@@ -17,11 +17,14 @@ so a frequent context costs as many rows as it has distinct instances.
 
 Edge cases: null text counts as empty; an empty table yields an empty result;
 repeated rows are separate rows (their occurrences all count); texts are scanned
-whole; other input columns are ignored.
+whole, and words of any length count whole; spans that start alike stand by kind;
+other input columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 
 import pyarrow as pa
@@ -42,7 +45,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IDENTIFIER = re.compile(r"\S*[0-9@]\S*")
 _WRAP = "\"'()[]{}<>,;:!?.*#$%&|"
-_PRECEDING = re.compile(r"(\S+)?\s+(\S+)\s*\Z")
+_WORD = re.compile(r"\S+")
+#: Longer words and instances stand as their length and digest, so that each costs little however often it precedes something.
+LONG = 200
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -90,32 +95,72 @@ def base_entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context_of(text: str, start: int) -> str | None:
-    """Lower-cased words right before ``start``; None at the beginning of a text."""
-    m = _PRECEDING.search(" " + text[max(0, start - 80) : start])
-    if not m or not m[2]:
-        return None
-    if m[2][-1] in ":=#":
-        return m[2].lower()
-    return f"{m[1]} {m[2]}".lower() if m[1] else None
+def _named(length: int, digest: str) -> str:
+    return f"#{length}:{digest}"
+
+
+def short(string: str) -> str:
+    """Lower-cased; a long one as its length and digest."""
+    return string.lower() if len(string) <= LONG else _named(len(string), hashlib.md5(string.encode()).hexdigest())
+
+
+class Contexts:
+    """What stands before places of one text, asked for in rising order."""
+
+    def __init__(self, text: str):
+        self.text = text
+        spans = [m.span() for m in _WORD.finditer(text)]
+        self.begins, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        self.kept: dict[int, str] = {}  # long words that are whole
+        self.open, self.at, self.digest = -1, 0, None  # a long word of which only the beginning precedes
+
+    def _word(self, k: int, end: int) -> str:
+        begin = self.begins[k]
+        if end - begin <= LONG:
+            return self.text[begin:end].lower()
+        if end == self.ends[k]:
+            if k not in self.kept:
+                self.kept = {k: short(self.text[begin:end])}
+            return self.kept[k]
+        if self.open != k:
+            self.open, self.at, self.digest = k, begin, hashlib.md5()
+        self.digest.update(self.text[self.at : end].encode())
+        self.at = end
+        return _named(end - begin, self.digest.copy().hexdigest())
+
+    def before(self, start: int) -> str | None:
+        """The words right before ``start``; None at the beginning of a text."""
+        k = bisect.bisect_left(self.begins, start) - 1
+        if k < 0:
+            return None
+        end = min(self.ends[k], start)
+        last = self._word(k, end)
+        if self.text[end - 1] in ":=#":
+            return last
+        return f"{self._word(k - 1, self.ends[k - 1])} {last}" if k else None
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, context, instance, seed) for base entities and other identifier-like strings."""
-    out, taken, k = [], base, 0
-    for s, _, e in base:
-        if c := context_of(text, s):
-            out.append((s, e, c, text[s:e].lower(), True))
+    out, k = [], 0
+    if base:
+        of = Contexts(text)
+        for s, _, e in base:
+            if c := of.before(s):
+                out.append((s, e, c, short(text[s:e]), True))
+    of = None
     for m in _IDENTIFIER.finditer(text):
         raw = m[0]
         s = m.start() + len(raw) - len(raw.lstrip(_WRAP))
         e = s + len(raw.strip(_WRAP))
-        while k < len(taken) and taken[k][2] <= m.start():
+        while k < len(base) and base[k][2] <= m.start():
             k += 1
-        if e <= s or any(t[0] < m.end() and t[2] > m.start() for t in taken[k : k + 4]):
+        if e <= s or (k < len(base) and base[k][0] < m.end()):
             continue
-        if any(c in "0123456789@" for c in text[s:e]) and (c := context_of(text, s)):
-            out.append((s, e, c, text[s:e].lower()[:200], False))
+        if any(c in "0123456789@" for c in text[s:e]):
+            of = of or Contexts(text)
+            if c := of.before(s):
+                out.append((s, e, c, short(text[s:e]), False))
     return out
 
 

@@ -14,12 +14,15 @@ its words plus two terms: workers keep one number for each word form, and texts
 are scored whole, where they lie.
 
 The model is fitted on the driver from a bounded sample, ``max_rows`` labelled
-rows, the same rows at every run (those of the smallest hash of their id).
+rows of ``max_bytes`` of text in all, the same rows at every run (those of the
+smallest hash of their id).
 
 Edge cases: null and empty texts have no words and get the score of the bias
 alone; an empty table yields an empty result; without labelled rows every weight
 is 0 and all documents are kept; several ratings of one id count as their
-highest; repeated rows are scored alike; all input columns are kept.
+highest, and of several texts of a rated id the least is fitted on; repeated rows
+are scored alike; very long texts and words are read whole; all input columns are
+kept, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, extended, slices, utf8
+from .common import Scratch, arrow_ready, extended, labelled_texts, slices, utf8
 
 BITS = 16
 MAX_ROWS = 8000
+MAX_BYTES = 96 << 20
 KEEP_GRADE = 1
 KEEP_TAIL = 0.5
 
@@ -46,7 +50,7 @@ _SHAPE = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"
 
 def _features(word: bytes) -> tuple[int, int]:
     """Hashed word form and word shape."""
-    shape = word[:64]
+    shape = word
     for pattern, by in _SHAPE:
         shape = pattern.sub(by, shape)
     mask = (1 << BITS) - 1
@@ -64,13 +68,17 @@ def _shares(text: bytes, ws: list[bytes]) -> tuple[float, float]:
     return again, 1 - len(set(lines)) / len(lines)
 
 
-class _Features(dict):
-    limit = 800_000
+#: Word forms that a worker keeps, and the longest of them; others are computed each time.
+KEPT, KEPT_BYTES = 400_000, 64
+
 
+class _Features(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[word] = _features(word)
+        out = _features(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -132,13 +140,15 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(vals, pa.binary())], names=["grade", "ids", "vals"])
 
 
-def train_quality(docs: DataFrame, ratings: DataFrame, *, grades: int, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> OrdinalModel:
-    """Fit on at most ``max_rows`` rated documents; ``ratings`` is (id, grade)."""
+def train_quality(docs: DataFrame, ratings: DataFrame, *, grades: int, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> OrdinalModel:
+    """Fit on at most ``max_rows`` rated documents of ``max_bytes`` in all; ``ratings`` is (id, grade)."""
     arrow_ready(docs.sparkSession)
     rated = ratings.filter("id is not null and grade is not null").groupBy("id").agg(F.max("grade").cast("int").alias("grade"))
     sample = rated.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(sample), "id")
-    bags = texts.select("grade", "text").limit(2 * max_rows).mapInArrow(_bags, "grade int, ids binary, vals binary").collect()
+    scratch = Scratch(docs.sparkSession, "quality")
+    texts = labelled_texts(docs, sample, scratch, id_col=id_col, text_col=text_col, max_bytes=max_bytes)
+    bags = texts.select("grade", "text").mapInArrow(_bags, "grade int, ids binary, vals binary").collect()
+    scratch.keep()
     bags.sort(key=lambda r: (r.grade, bytes(r.ids)))
     index = [np.frombuffer(r.ids, "<u4") for r in bags]
     indptr = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
@@ -150,22 +160,23 @@ def train_quality(docs: DataFrame, ratings: DataFrame, *, grades: int, id_col: s
 class _Scalars(dict):
     """Summed weights of a word's features."""
 
-    limit = 1_200_000
-
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= self.limit:
-            self.clear()
         a, b = _features(word)
-        out = self[word] = float(self.weights[a] + self.weights[b])
+        out = float(self.weights[a] + self.weights[b])
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = out
         return out
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, *, keep: int = KEEP_GRADE, text_col: str = "text", prefix: str = "quality_") -> DataFrame:
     """``docs`` with the expected grade and the tail probability ``P(grade >= keep)``."""
     spark = docs.sparkSession
+    docs = docs.drop(f"{prefix}grade", f"{prefix}tail")
     arrow_ready(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds))
     columns, at = docs.columns, docs.columns.index(text_col)

@@ -24,12 +24,14 @@ def tokens(text: bytes) -> list[bytes]:
 class WordHash(dict):
     """64-bit code of each word, kept for words that come again."""
 
-    limit = 1_500_000
+    limit, longest = 400_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = code
         return code
 
     def codes(self, ws: list[bytes]) -> np.ndarray:

@@ -14,13 +14,15 @@ to one number and workers keep one number for each word. Texts are scored whole,
 where they lie; passages overlap by half.
 
 Only labels and text are used. The model is fitted on the driver from a bounded
-sample: at most ``max_toxic`` toxic and ``max_clean`` clean documents, those of the
-smallest hash of their id.
+sample: at most ``max_toxic`` toxic and ``max_clean`` clean documents of ``max_bytes``
+of text in all, those of the smallest hash of their id.
 
 Edge cases: null and empty texts are one passage without words and get the score
 of the bias; an empty table yields an empty result; without labels of either
-kind all scores are 0; several labels of one id count as their highest; repeated
-rows are scored alike; all input columns are kept.
+kind all scores are 0; several labels of one id count as their highest, and of
+several texts of a labelled id the least is fitted on; repeated rows are scored
+alike; very long texts are read whole; all input columns are kept, but for one named
+like the result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, extended, ragged_take, slices, utf8
+from .common import Scratch, arrow_ready, extended, labelled_texts, ragged_take, slices, utf8
 from .textcode import mixed, words
 
 BUCKETS = 1 << 17
@@ -41,6 +43,7 @@ DIM = 8
 NGRAMS = (3, 4, 5)
 WINDOW = 8
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_BYTES = 48 << 20
 MIN_DOCS = 8
 BATCH = 128
 #: Longer runs without separators (Chinese text, text glued together) are cut into pieces that count as words.
@@ -181,20 +184,21 @@ def _passages(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, a + WINDOW
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel:
-    """Fit on the whole texts of at most ``max_toxic + max_clean`` labelled documents; ``labels`` is (id, toxic)."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    """Fit on the whole texts of at most ``max_toxic + max_clean`` labelled documents, ``max_bytes`` in all; ``labels`` is (id, toxic)."""
     marked = labels.filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda kind, n: marked.filter(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(n)
     sample = pick(1, max_toxic).unionByName(pick(0, max_clean))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(sample), "id").limit(2 * (max_toxic + max_clean)).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = labelled_texts(docs, sample, scratch, id_col=id_col, text_col=text_col, max_bytes=max_bytes).select("id", "toxic", "text").toArrow().sort_by("id")
+    scratch.keep()
     return fit_toxicity((pieces(t) for c in rows.column("text").chunks for b in c.to_pylist() for t in (b.encode(),)), rows.column("toxic").to_numpy().astype(np.int64))
 
 
 class WordScores(dict):
     """One number for each word; unknown words are computed by the batch."""
 
-    limit = 1_200_000
+    limit = 400_000
 
     def learn(self, ws, bucket: np.ndarray) -> None:
         if len(self) >= self.limit:
@@ -223,6 +227,7 @@ def score_batch(texts: list[bytes], model: ToxicityModel, known: WordScores) ->
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """``docs`` with a score from 0 to 1."""
     spark = docs.sparkSession
+    docs = docs.drop(out_col)
     arrow_ready(spark)
     shared = spark.sparkContext.broadcast((model.bucket, model.bias))
     columns, at = docs.columns, docs.columns.index(text_col)

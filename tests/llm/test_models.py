@@ -47,6 +47,55 @@ def test_quality_edges(spark, frame):
     assert quality.score_quality(frame(EDGES).limit(0), model).count() == 0
 
 
+def test_quality_scores_against_brute_force(spark, frame):
+    rng = np.random.default_rng(3)
+    model = quality.OrdinalModel(rng.normal(0, 3, 1 << quality.BITS), np.array([-0.4, 0.9]))
+    texts = [None, "", "a", "One one two\n\nOne one two", "Über 12,5 %% x@y.z A1b2 " * 9, "w" * 70_000 + " W" + "9" * 100]
+    got = {r.doc_id: (r.quality_grade, r.quality_tail) for r in quality.score_quality(frame(texts).withColumn("quality_tail", F.lit(9)), model).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        ws = raw.split()
+        score = sum(model.weights[f] for w in ws for f in quality._features(w)) / max(1, len(ws))
+        lines = raw.split(b"\n")
+        score += model.weights[quality._REPEATS] * sum(x == y for x, y in zip(ws, ws[1:], strict=False)) / max(1, len(ws)) + model.weights[quality._LINES] * (1 - len(set(lines)) / len(lines))
+        above = [1 / (1 + np.exp(c - score)) for c in model.thresholds]
+        assert got[k] == pytest.approx((sum(above), above[0]))
+
+
+def test_quality_fit_is_a_maximum():
+    rng = np.random.default_rng(4)
+    grade = rng.integers(0, 3, 300)
+    index = np.stack([np.where(rng.random(300) < 0.8, 10 + grade, rng.integers(10, 13, 300)), rng.integers(20, 40, 300)], axis=1).reshape(-1)
+    ptr, ones = np.arange(0, 601, 2), np.ones(600)
+    m = quality.fit_ordinal(ptr, index, ones, grade, 3, steps=600, rate=0.05, penalty=1e-4)
+
+    def loss(w, cut):
+        s = w[index].reshape(-1, 2).sum(1)
+        at = np.concatenate([np.zeros((300, 1)), 1 / (1 + np.exp(s[:, None] - cut[None, :])), np.ones((300, 1))], axis=1)
+        return -np.log(at[np.arange(300), grade + 1] - at[np.arange(300), grade]).mean() + 0.5e-4 * (w * w).sum()
+
+    best = loss(m.weights, m.thresholds)
+    for j in (10, 11, 12, 25):
+        for step in (-0.3, 0.3):
+            w = m.weights.copy()
+            w[j] += step
+            assert loss(w, m.thresholds) > best
+    for step in (-0.3, 0.3):
+        assert loss(m.weights, m.thresholds + np.array([0, step])) > best
+
+
+def test_fitting_samples_are_bounded_and_repeatable(spark, frame):
+    docs = frame(["a b"] * 30 + ["c d " * 50] * 30 + [None], ids=[*range(30), *range(30), 30])
+    ratings = spark.createDataFrame([(k, k % 3) for k in range(31)], "id long, grade int")
+    from paperloom.llm.common import Scratch, labelled_texts
+
+    take = lambda most, d=docs: sorted((r.id, r.text) for r in labelled_texts(d, ratings, Scratch(spark, "t"), id_col="doc_id", text_col="text", max_bytes=most).collect())
+    assert take(1 << 20) == [(k, "a b") for k in range(30)] + [(30, "")]
+    assert len([t for _, t in take(30) if t]) == 10 and set(take(30)) <= set(take(60)) and take(30) == take(30, docs.repartition(5))
+    one, two = (quality.train_quality(d, ratings, grades=3) for d in (docs, docs.repartition(6)))
+    assert np.array_equal(one.weights, two.weights)
+
+
 @needs_data
 def test_toxicity_on_held_out_labels(spark):
     scored = queries.op10_toxicity(spark, "/root/testdata/sf0.1")
@@ -71,6 +120,27 @@ def test_toxicity_reads_long_runs_whole():
     assert low < 0.5 < high
 
 
+def test_toxicity_scores_against_brute_force():
+    rng = np.random.default_rng(6)
+    model = toxicity.ToxicityModel(rng.normal(0, 2, toxicity.BUCKETS).astype(np.float32), 0.3)
+    vocabulary = ["a", "bc", "straße", "x9", "verylongwordindeed", "q" * 150]
+    texts = [" ".join(rng.choice(vocabulary, n)).encode() for n in (0, 1, 7, 8, 9, 12, 13, 30, 31, 200)]
+
+    def word(w):
+        marked = b"<" + w + b">"
+        grams, per = toxicity.subwords([w])
+        assert per[0] == len(grams) == 1 + sum(max(0, len(marked) - n + 1) for n in toxicity.NGRAMS)
+        return model.bucket[grams].astype(np.float64).mean()
+
+    got = toxicity.score_batch(texts, model, toxicity.WordScores())
+    for t, g in zip(texts, got, strict=True):
+        values = [word(w) for w in t.split()]
+        n = len(values)
+        starts = [0] if n <= 8 else [*range(0, n - 8, 4), n - 8]
+        best = max(np.mean(values[a : a + 8]) if values else 0.0 for a in starts)
+        assert g == pytest.approx(1 / (1 + np.exp(-(best + 0.3))))
+
+
 def test_toxicity_learns_subwords_and_edges(spark, frame):
     rng = np.random.default_rng(1)
     filler = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]

@@ -163,6 +163,71 @@ def test_contexts_find_new_identifiers(spark, frame):
     assert pii.find_personal_data(frame(known).limit(0)).count() == 0
 
 
+def brute_contexts(texts, rounds=3, confidence=0.7, support=3):
+    """Spans by context as defined: per pair of context and instance, without any limits."""
+    seen = []
+    for d, t in enumerate(texts):
+        base = brute_entities(t or "")
+        taken = [(s, e) for s, _, e in base]
+        found = [(s, e, True) for s, e in taken]
+        for m in re.finditer(r"\S*[0-9@]\S*", t or ""):
+            raw = m[0].strip(pii._WRAP)
+            s = m.start() + len(m[0]) - len(m[0].lstrip(pii._WRAP))
+            if raw and re.search("[0-9@]", raw) and not any(a < m.end() and b > m.start() for a, b in taken):
+                found.append((s, s + len(raw), False))
+        for s, e, seed in found:
+            m = re.search(r"(\S+)?\s+(\S+)\s*\Z", " " + t[:s])
+            if m:
+                context = m[2].lower() if m[2][-1] in ":=#" else f"{m[1]} {m[2]}".lower() if m[1] else None
+                if context:
+                    seen.append((d, s, e, context, t[s:e].lower(), seed))
+    edges = {}
+    for *_, c, i, seed in seen:
+        n, known = edges.get((c, i), (0, False))
+        edges[c, i] = n + 1, known or seed
+    conf = {e: float(seed) for e, (_, seed) in edges.items()}
+    for _ in range(rounds):
+        accepted = {}
+        for c in {c for c, _ in edges}:
+            own = [e for e in edges if e[0] == c]
+            share = sum(edges[e][0] * conf[e] for e in own) / (sum(edges[e][0] for e in own) + 1)
+            if share >= confidence and sum(conf[e] >= confidence for e in own) >= support:
+                accepted[c] = share
+        rest = {i: 1.0 for _, i in edges}
+        for c, i in edges:
+            rest[i] *= 1 - accepted.get(c, 0.0)
+        conf = {(c, i): 1.0 if edges[c, i][1] else 1 - rest[i] for c, i in edges}
+    return {(d, s, e) for d, s, e, c, _, seed in seen if not seed and c in accepted}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_contexts_against_brute_force(spark, frame, seed):
+    random.seed(seed)
+    ids = [f"ref{k}x" for k in range(40)] + [f"u{k}@mail.example.com" for k in range(12)] + ["10.0.0.%d" % k for k in range(8)]
+    lead = ["contact:", "write to", "the id", "host =", "see page", "a" * 300 + " " + "b" * 250 + ":", "call"]
+    texts = [None, ""]
+    for _ in range(90):
+        parts = []
+        for _ in range(random.randint(1, 4)):
+            c = random.choice(lead)
+            pool = ids[40:52] if c in ("contact:", "write to") and random.random() < 0.85 else ids[52:] if c == "host =" and random.random() < 0.9 else ids
+            parts.append(f"{c} {random.choice(pool)}")
+        texts.append("so it is. " + " and then ".join(parts) + " end")
+    texts += [texts[5]] * 3
+    got = pii.find_personal_data(frame(texts)).collect()
+    assert {(r.doc_id, s.s, s.e) for r in got for s in r.spans if s.k == 4} == brute_contexts(texts)
+    assert any(s.k == 4 for r in got for s in r.spans)
+
+
+def test_long_words_are_contexts_whole():
+    run = "please see " + ",".join("u%d@mail.example.com" % k for k in range(500))
+    found = pii.occurrences(run, pii.base_entities(run))
+    assert len(found) == 500 and len({x[2] for x in found}) == 500 and max(len(x[2]) for x in found) < 250
+    a, b = "q" * 400 + "A:", "q" * 400 + "B:"
+    one, two, three = (pii.occurrences(f"x {w} a@b.co", pii.base_entities(f"x {w} a@b.co"))[0][2] for w in (a, b, a))
+    assert one == three != two
+
+
 def test_secrets(spark, frame):
     key = "AKIA" + "ABCDEFGH23456789"
     texts = [None, "", f"é🙂 Api_Key = '{key}'", "deadbeef" * 5, "token: short", "password=abcdef", "id Zx9Kp2LmQ7RtVw4Ys8Ub1NcE end", "averyveryverylongwordwithoutanydigits", "550e8400-e29b-41d4-a716-446655440000", "sampleZx9Kp2LmQ7RtVw4Ys8Ub1NcE", "x" * 50_000]
