@@ -69,6 +69,16 @@ def report(results: DataFrame) -> DataFrame:
     return sets.select(part.alias("part"), F.coalesce("expected_modality", "category", F.lit("all")).alias("name"), "total", "passed", "failed", "pass_rate", "avg_keyword_score", "modality_match_rate")
 
 
+def dashboard(results: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row of totals, totals by category and the modalities that were retrieved."""
+    total, good = F.count(F.lit(1)), F.count_if("passed")
+    each = results.groupBy(F.coalesce("category", F.lit("unknown")).alias("key")).agg(F.struct(total.alias("total"), good.alias("passed")).alias("value"))
+    entries = lambda df, name: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(name))
+    kinds = ranked.groupBy(F.col("modality").alias("key")).agg(F.count(F.lit(1)).alias("value"))
+    sums = results.agg(total.alias("total"), good.alias("passed"), (total - good).alias("failed"), F.round(100.0 * good / total, 4).alias("pass_rate"))
+    return sums.crossJoin(entries(each, "categories")).crossJoin(entries(kinds, "modality_counts"))  # one row each
+
+
 def assessment(results: DataFrame) -> DataFrame:
     """Points of a hundred, and how many of three modalities passed."""
     rate = F.count_if("passed") / F.count(F.lit(1))

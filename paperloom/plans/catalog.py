@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import tables as X
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import answer, chunk, evaluate, index, ingest, link, rerank, retrieve, validate
+from ..operators import answer, chunk, evaluate, index, ingest, link, present, rerank, retrieve, validate
 from ..sources.store import stored
 from . import adapters as A
 from . import fixtures as FX
@@ -629,6 +629,19 @@ def eval_by_category(spark, sf):
     return evaluate.by_category(_results(spark))
 
 
+@query
+def eval_dashboard(spark, sf):
+    ranked = FX.load(spark, "specs").select("query_id", F.explode(F.split("seen", ";")).alias("modality"))
+    d = evaluate.dashboard(_results(spark), ranked)
+    flat = lambda m, text: F.array_join(F.transform(F.array_sort(F.map_entries(m)), text), ";")
+    return d.select("total", "passed", "failed", "pass_rate", flat("categories", lambda e: F.concat_ws(":", e["key"], e["value"]["total"].cast("string"), e["value"]["passed"].cast("string"))).alias("categories"), flat("modality_counts", lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))).alias("modalities"))
+
+
+@query
+def answer_html(spark, sf):
+    return FX.load(spark, "shown").select("id", present.answer_html(F.col("text"), F.col("intent")).alias("html"))
+
+
 @query
 def eval_assessment(spark, sf):
     return evaluate.assessment(_results(spark))

@@ -173,6 +173,17 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         "document_id, page_number, image_no, word_no, line_no, text, confidence",
         [("d", 2, 0, 1, 1, "GDP", 90.0), ("d", 2, 0, 2, 1, "growth", 80.0), ("d", 2, 0, 3, 2, "2023", 95.0), ("d", 2, 0, 4, 2, "blur", 40.0), ("d", 2, 0, 5, 3, "2023", 70.0)],
     ),
+    "shown": (
+        "id, intent, text",
+        [
+            (1, "TABLE_LOOKUP", "Table 1:\n\n| a | b |\n|---|:-:|\n| **x** | 1 |\n\n| y | 2 |"),
+            (2, "TEXT_SUMMARY", "Figures in short are: **GDP**: 2.4%\n**CPI**: 3 percent"),
+            (3, "TABLE_LOOKUP", "Main data\nIndicator 2022 2023 2024\nReal GDP  1.0 2.0 -3.0\nFiscal\n 4 5 6"),
+            (4, "UNKNOWN", "Some points follow here.\n- Growth: strong\n- **Debt**: low\n3. Trade: wide"),
+            (5, "UNKNOWN", "Plain text without anything."),
+            (6, "UNKNOWN", "short"),
+        ],
+    ),
     "replies": ("id, raw", [(1, '```json\n{"answer": "Yes.", "cited_chunks": [0, 2], "confidence": "high"}\n```'), (2, "plain text"), (3, 'Sure: {"answer": "No", "cited_chunks": []}'), (4, None), (5, "{broken")]),
     "cites": ("query_id, pos, chunk_id", [("q1", 1, "c3"), ("q1", 2, "c1"), ("q1", 3, "c3"), ("q1", 4, "c2"), ("q2", 1, "c1"), ("q2", 2, "c1")]),
     "spans": (

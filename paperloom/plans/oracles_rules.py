@@ -303,3 +303,24 @@ FROM raw_tables t LEFT JOIN raw_spans s ON t.document_id = s.document_id AND t.p
 SQL["figure_regions"] = rf"""WITH {cte('raw_spans')}, {cte('raw_images')}, s AS (SELECT *, coalesce(nullif(regexp_extract(text, '(?i)(Text\s+Figure\s+\d+)', 1), ''), nullif(regexp_extract(text, '(?i)(Figure\s+\d+[a-z]?)', 1), ''), nullif(regexp_extract(text, '(?i)(Figure\s+[IVX]+)', 1), '')) AS figure_id FROM raw_spans WHERE contains(text, 'Figure'))
 SELECT page_number, figure_id, text AS title, 0.8::DOUBLE AS extraction_confidence, round(least(y1 + 300, page_height * 0.9) / page_height, 4) AS bottom FROM s WHERE figure_id IS NOT NULL
  AND NOT EXISTS (SELECT 1 FROM raw_images i WHERE i.document_id = s.document_id AND i.page_number = s.page_number AND NOT (s.x1 / page_width < i.x0 OR i.x1 < s.x0 / page_width OR s.y1 / page_height < i.y0 OR i.y1 < s.y0 / page_height))"""
+
+# --- presentation ---------------------------------------------------------------------
+
+SQL["eval_dashboard"] = f"""{O._EVAL}, c AS (SELECT category, count(*) AS n, count(*) FILTER (passed) AS p FROM e GROUP BY category), m AS (SELECT modality, count(*) AS n FROM (SELECT unnest(string_split(seen, ';')) AS modality FROM specs) GROUP BY modality)
+SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(100.0::DOUBLE * count(*) FILTER (passed) / count(*), 4) AS pass_rate,
+ (SELECT string_agg(category || ':' || n || ':' || p, ';' ORDER BY category) FROM c) AS categories, (SELECT string_agg(modality || ':' || n, ';' ORDER BY modality) FROM m) AS modalities FROM e"""
+_ROW = lambda cells, tag: f"'<tr>' || array_to_string(list_transform({cells}, lambda c: '<{tag}>' || trim(regexp_replace(c, '\\*+', '', 'g')) || '</{tag}>'), '') || '</tr>'"
+_TABLE = lambda head, rows: f"'<table><thead>' || {_ROW(head, 'th')} || '</thead><tbody>' || array_to_string(list_transform({rows}, lambda r: {_ROW('r', 'td')}), '') || '</tbody></table>'"
+SQL["answer_html"] = rf"""WITH {cte('shown')}, a AS (SELECT *, list_transform(string_split({_strip('text')}, chr(10)), lambda x: trim(x)) AS every FROM shown),
+b AS (SELECT *, list_filter(every, lambda x: x <> '') AS ls, regexp_extract_all(text, '\*\*([^*]+)\*\*[:\s]+([^\n*]+)', 1) AS names, regexp_extract_all(text, '\*\*([^*]+)\*\*[:\s]+([^\n*]+)', 2) AS vals, trim(string_split(text, '**')[1]) AS intro FROM a),
+c AS (SELECT *, list_filter(list_transform(list_filter(ls, lambda x: contains(x, '|') AND NOT regexp_matches(x, '^[|\-:\s]+$')), lambda x: list_filter(list_transform(string_split(x, '|'), lambda z: trim(z)), lambda z: z <> '')), lambda r: len(r) > 0) AS piped,
+  coalesce(list_position(list_transform(ls, lambda x: len(regexp_extract_all(x, '\b20\d{{2}}\b')) >= 3), true), 0) AS y FROM b),
+d AS (SELECT *, CASE WHEN y > 0 THEN regexp_extract_all(ls[y], '\b(20\d{{2}})\b', 1) END AS years, list_transform(ls[y + 1 :], lambda x: {{'line': x, 'v': regexp_extract_all(x, '(-?\d+\.?\d*)', 1), 'label': trim(regexp_replace(regexp_extract(x, '^(.*?)\s*-?\d', 1), '\*+', '', 'g'))}}) AS below FROM c),
+f AS (SELECT *, list_transform(list_filter(below, lambda r: len(r.v) >= len(years)), lambda r: list_prepend(CASE WHEN length(r.label) < 2 THEN 'Value' ELSE r.label END, r.v[len(r.v) - len(years) + 1 :])) AS yearly, list_filter(every, lambda x: regexp_matches(x, '^[-*\d.]+\s*\**[^:*]+\**[:\s]+.+$')) AS points FROM d),
+g AS (SELECT *, trim(array_to_string(list_filter(every, lambda x: NOT regexp_matches(x, '^[-*\d.]+\s*\**[^:*]+\**[:\s]+.+$'))[1:2], chr(10))) AS others FROM f)
+SELECT id, CASE WHEN length(text) < 10 THEN text
+  WHEN len(regexp_extract_all(text, '\|')) >= 4 AND len(piped) >= 2 THEN {_TABLE('piped[1]', 'piped[2:]')}
+  WHEN len(names) >= 2 THEN CASE WHEN length(intro) > 15 THEN '<p>' || intro || '</p>' ELSE '' END || {_TABLE("['Indicator', 'Value']", "list_transform(range(1, len(names) + 1), lambda i: [trim(names[i]), trim(vals[i])])")}
+  WHEN (lower(intent) = 'table_lookup' OR contains(lower(substr(text, 1, 100)), 'table')) AND y > 0 AND len(yearly) > 0 THEN array_to_string(list_concat(list_transform(ls[1 : y - 1], lambda x: '<p>' || x || '</p>'), list_transform(list_filter(below, lambda r: len(r.v) < len(years)), lambda r: '<p><strong>' || r.line || '</strong></p>')), chr(10)) || chr(10) || {_TABLE("list_prepend('Indicator', years)", "yearly")}
+  WHEN len(points) >= 3 THEN CASE WHEN length(others) > 10 THEN '<p>' || others || '</p>' ELSE '' END || {_TABLE("['Item', 'Details']", "list_transform(points, lambda x: [trim(regexp_extract(x, '^[-*" + chr(92) + "d.]+" + chr(92) + "s*" + chr(92) + "**([^:*]+)" + chr(92) + "**[:" + chr(92) + "s]+(.+)$', 1)), trim(regexp_extract(x, '^[-*" + chr(92) + "d.]+" + chr(92) + "s*" + chr(92) + "**([^:*]+)" + chr(92) + "**[:" + chr(92) + "s]+(.+)$', 2))])")}
+  ELSE text END AS html FROM g"""

@@ -7,6 +7,7 @@ kind's schema. A file that cannot be read becomes a status row, not an exception
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ from .. import schema as S
 from ..functions import text as T
 
 Reader = Callable[[str, bytes], Iterable[dict]]
+#: How a trailer, which may stand anywhere, names the dictionary of an encrypted file.
+_ENCRYPTED = re.compile(rb"/Encrypt\s+\d+\s+\d+\s+R")
 KINDS = {"span": "SPANS", "grid": "GRIDS", "image": "IMAGES", "word": "WORDS"}
 
 
@@ -36,7 +39,7 @@ def _status(content: bytes | None) -> str | None:
         return "empty"
     if not content.startswith(b"%PDF"):
         return "not_pdf"
-    return "encrypted" if b"/Encrypt" in content[-4096:] else None
+    return "encrypted" if _ENCRYPTED.search(content) else None
 
 
 def scan(source: DataFrame, reader: Reader, kind: str) -> DataFrame:
