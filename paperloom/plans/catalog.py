@@ -453,7 +453,9 @@ def policy_sentence(spark, sf):
 
 @query
 def policy_documents(spark, sf):
-    s = A.table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
+    """The tables' prose is invented and holds no policy, so every seventh document begins with a sentence of it."""
+    said = F.when(F.col("doc_id") % 7 == 0, "Staff urge reform of the budget. ").when(F.col("doc_id") % 7 == 3, "The authorities' stance is that reform is essential! ").otherwise("")
+    s = A.table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.concat(said, F.col("text")))).alias("at", "sentence"))
     return s.filter(T.is_policy(F.col("sentence"))).select("doc_id", "at", T.policy_attribution(F.col("sentence")).alias("attribution"), F.length("sentence").alias("chars"))
 
 

@@ -121,12 +121,6 @@ SELECT id, part, n.marker AS marker, trim(n.content) AS content FROM e"""
 
 _TOKENS = r"list_filter(string_split_regex(replace(replace(query, '?', ''), '''s', ' '), '\s+'), lambda t: t <> '')"
 _DOMAIN = O._DOMAIN.format(t="query")
-_INTENT = r"""CASE
-    WHEN regexp_matches(lower(query), 'table\s*\d+|(show|display|get)\s+(me\s+)?table|(data|info|information)\s+(from|in)\s+table') THEN 'TABLE_LOOKUP'
-    WHEN regexp_matches(lower(query), '\b(recommend|recommendation|recommendations|policy|policies)\b|\b(should|advised|stance|position)\b|(authorities|staff|imf).*(view|opinion|assess|recommend)|what (should|must|needs to)') THEN 'POLICY_QUESTION'
-    WHEN regexp_matches(lower(query), '(what|how).*(rate|growth|balance|deficit|surplus|gdp|inflation|percent|%).*\b20\d{2}\b|\b20\d{2}\b.*(what|how).*(rate|growth|balance|deficit|surplus|gdp|inflation|percent|%)|how (much|many).*(percent|%|billion|million|rate)|what (is|was|are|were) (the|qatar''?s?)\s+\w+.*(rate|growth|%|percent).*\b20\d{2}\b') THEN 'NUMERIC_LOOKUP'
-    WHEN regexp_matches(lower(query), '\b(explain|describe|summarize|outline)\b|\b(summary|overview|synopsis)\b|tell me (about|regarding)|(main|key|overall)\s+(points|findings|conclusions|takeaways)') THEN 'TEXT_SUMMARY'
-    ELSE 'UNKNOWN' END"""
 _HITS = "len(list_filter(words, lambda k: contains(lower({r}.label), k)))"
 _BEST = "list_sort(list_filter(list_transform(range(1, len({rows}) + 1), lambda i: {{'score': " + _HITS.format(r="{rows}[i]") + ", 'place': -i, 'label': {rows}[i].label, 'value': {rows}[i].value}}), lambda z: z.score > 0), 'DESC')[1]"
 _DISPLAY = r"""CASE WHEN len(years) >= 3 AND len(shown) > 0 THEN array_to_string(list_concat([rpad('Indicator', 30, ' ') || array_to_string(list_transform(years, lambda y: lpad(y, 10, ' ')), '')],
@@ -149,7 +143,7 @@ _ANCHORED = O.any_of("lower(query)", ("outlook", "fiscal", "policy", "report", "
 
 def rules(ranked: str, asked: str) -> str:
     """CTEs up to ``found`` (what the rule of each question's intent finds) and ``answered`` (with guards), from ranked chunks and questions."""
-    return rf"""asked AS (SELECT query_id, query, {_INTENT} AS intent, {_TOKENS} AS toks FROM {asked}),
+    return rf"""asked AS (SELECT query_id, query, {O.INTENT} AS intent, {_TOKENS} AS toks FROM {asked}),
 candidates AS (SELECT r.*, q.query, q.intent, q.toks, list_position(CASE q.intent WHEN 'NUMERIC_LOOKUP' THEN ['TABLE', 'TEXT'] WHEN 'TABLE_LOOKUP' THEN ['TABLE'] WHEN 'UNKNOWN' THEN ['TEXT', 'TABLE', 'FIGURE', 'FOOTNOTE'] ELSE ['TEXT'] END, r.modality) AS pref FROM {ranked} r JOIN asked q USING (query_id)),
 guarded AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pref, rank) AS pos, count(*) OVER (PARTITION BY query_id) AS available FROM candidates WHERE coalesce(pref, 0) > 0),
 numeric AS (
