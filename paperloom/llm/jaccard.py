@@ -67,7 +67,7 @@ TABLE_BITS = 22
 #: How much larger than a prefix the share of drawn codes is; rows of one code that are held before its count is given as "many".
 DRAWN, MANY = 1.3, 100_000
 #: A leader's partners are split over salts of about so many.
-SALT_ROWS = 2048
+SALT_ROWS = 128
 #: Salts of the orders: the first makes candidates, the others filter them.
 _ORDERS = (np.uint64(0), np.uint64(0xA5A5A5A5DEADBEEF), np.uint64(0x0123456789ABCDEF))
 
@@ -541,16 +541,23 @@ def _only(kept: DataFrame, column: str, wanted: np.ndarray) -> DataFrame:
 
 def _links(pairs: DataFrame, kept: DataFrame, th: Threshold, scratch: Scratch) -> DataFrame:
     """Verified links among candidate pairs (a, b): the other orders first, by signatures, then the sets of what is left."""
+    pairs = pairs.select("a", "b")
     if pairs.isEmpty():
-        return pairs.select("a", "b")
+        return pairs
     near = _checked(pairs, _only(kept, "signature", _bloom(pairs)), _Near(th), scratch, "near")
     if near.isEmpty():
         return near
     return _checked(near, _only(kept, "codes", _bloom(near)), _Verify(th), scratch, "links")
 
 
+def _toward(pairs: DataFrame) -> DataFrame:
+    """(lo, hi, a, b): the class with many partners, ``lead`` where there is one, is ``b``, which is salted."""
+    b = F.coalesce("lead", "hi")
+    return pairs.select("lo", "hi", F.when(b == F.col("hi"), F.col("lo")).otherwise(F.col("hi")).alias("a"), b.alias("b"))
+
+
 def _between(many: DataFrame, labels: DataFrame, th: Threshold, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) of classes in different components, from rows (code, cls, n, i) of codes met by many."""
+    """Candidate pairs (lo, hi, lead) of classes in different components, from rows (code, cls, n, i) of codes met by many; ``lead`` is outside the code's largest component."""
     placed = scratch.cut(many.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "many")
     sizes = placed.groupBy("code", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
     main = scratch.cut(sizes.groupBy("code").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.min("least").alias("least"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "main")
@@ -563,7 +570,7 @@ def _between(many: DataFrame, labels: DataFrame, th: Threshold, scratch: Scratch
     fits = (th.den * F.least("n", "n2") >= th.num * F.greatest("n", "n2")) & (F.least(n - i, F.col("n2") - F.col("i2")) >= need(n, F.col("n2")))
     once = ~F.col("outside") | (F.col("cls") < F.col("cls2"))
     met = early.join(other, (F.col("code") == F.col("code2")) & (F.col("band") == F.col("band2")) & (F.col("component") != F.col("component2")) & fits & once)
-    return met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+    return met.groupBy(F.least("cls", "cls2").alias("lo"), F.greatest("cls", "cls2").alias("hi")).agg(F.max("cls2").alias("lead"))
 
 
 def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -593,8 +600,9 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scratch.drop(held)
     led = met.filter("kind = 2").groupBy("a", "b").agg(F.sum("c").alias("times"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
-    led = led.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.cut(met.filter("kind = 0").select("a", "b").unionByName(led).distinct(), "pairs")
+    led = led.withColumn("place", place).filter(F.col("place") <= LEADERS).select("a", "b", F.col("b").alias("lead"))
+    both = met.filter("kind = 0").select("a", "b", F.lit(None).cast("long").alias("lead")).unionByName(led)
+    pairs = scratch.cut(_toward(both.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("lead").alias("lead"))), "pairs")
     wanted = _bloom(pairs.select("a", "b").unionByName(met.filter("kind = 1").select("b", F.col("b").alias("a")).distinct()))
     kept = scratch.cut(_kept_sets(texts, wanted, shared, th, k, seed), "kept")
     links = _links(pairs, kept, th, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -602,7 +610,7 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     many = met.filter("kind = 1").select(F.col("a").alias("code"), F.col("b").alias("cls"), F.shiftright("c", 32).alias("n"), F.col("c").bitwiseAND((1 << 32) - 1).alias("i"))
     if not many.isEmpty():
-        rest = scratch.cut(_between(many, labels, th, scratch).join(pairs, ["a", "b"], "left_anti"), "rest")
+        rest = scratch.cut(_toward(_between(many, labels, th, scratch).join(pairs, ["lo", "hi"], "left_anti")), "rest")
         more = _links(rest, kept, th, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch)
