@@ -45,8 +45,8 @@ from .textcode import WordHash, shingles, words
 
 SEED = 5
 THRESHOLD = 0.5
-#: Bits of the sieve: so many for each seed, and at most so many.
-SIEVE_EACH, SIEVE_MOST = 16, 1 << 29
+#: Bits of the sieve: at least so many, so many for each seed, and at most so many.
+SIEVE_LEAST, SIEVE_EACH, SIEVE_MOST = 1 << 23, 256, 1 << 29
 #: Found texts (a digest and a short list each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -140,26 +140,19 @@ def _item_seeds(items: DataFrame, seed: int) -> DataFrame:
 
 
 def _sieve(seeds: DataFrame) -> np.ndarray:
-    """Bits of all seeds, by their lowest bits. Each partition sends the words of the sieve that it sets."""
-    size = 1 << 16
+    """Bits of all seeds, by their lowest bits. Each batch sends the words of the sieve that it sets."""
+    size = SIEVE_LEAST
     rows = seeds.count()
     while size < min(SIEVE_EACH * rows, SIEVE_MOST):
         size *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool) if size <= 1 << 22 else None
-        packed = np.zeros(size >> 3, np.uint8)
         for batch in batches:
-            at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
-            if bits is not None:
-                bits[at] = True
-            else:
-                np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if bits is not None:
-            packed = np.packbits(bits, bitorder="little")
-        wide = packed.view("<i8")
-        at = np.flatnonzero(wide)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(wide[at])], names=["at", "bits"])
+            place = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1))
+            word, inverse = np.unique(place >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (place & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
 
     got = seeds.select("seed").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size >> 6, "<i8")
