@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, extended, labelled_texts, slices, utf8
+from .common import Scratch, arrow_ready, binary_parts, extended, labelled_texts, slices, utf8
 
 BITS = 16
 MAX_ROWS = 8000
@@ -147,14 +147,11 @@ def train_quality(docs: DataFrame, ratings: DataFrame, *, grades: int, id_col: s
     sample = rated.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     scratch = Scratch(docs.sparkSession, "quality")
     texts = labelled_texts(docs, sample, scratch, id_col=id_col, text_col=text_col, max_bytes=max_bytes)
-    bags = texts.select("grade", "text").mapInArrow(_bags, "grade int, ids binary, vals binary").collect()
+    bags = texts.select("grade", "text").mapInArrow(_bags, "grade int, ids binary, vals binary").toArrow().combine_chunks().sort_by([("grade", "ascending"), ("ids", "ascending")])
     scratch.keep()
-    bags.sort(key=lambda r: (r.grade, bytes(r.ids)))
-    index = [np.frombuffer(r.ids, "<u4") for r in bags]
-    indptr = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
-    flat = np.concatenate(index).astype(np.int64) if bags else np.zeros(0, np.int64)
-    value = np.concatenate([np.frombuffer(r.vals, "<f4") for r in bags]).astype(np.float64) if bags else np.zeros(0)
-    return fit_ordinal(indptr, flat, value, np.array([r.grade for r in bags], np.int64), grades)
+    flat, off = binary_parts(bags["ids"].combine_chunks()) if bags.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    value, _ = binary_parts(bags["vals"].combine_chunks()) if bags.num_rows else (np.zeros(0, np.uint8), None)
+    return fit_ordinal(off // 4, flat.view("<u4").astype(np.int64), value.view("<f4").astype(np.float64), bags["grade"].to_numpy().astype(np.int64), grades)
 
 
 class _Scalars(dict):

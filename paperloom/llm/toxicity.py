@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -108,9 +109,10 @@ def fit_toxicity(docs: Iterable[list[bytes]], toxic: np.ndarray, *, epochs: tupl
     # Texts come one by one and are kept as numbers of words.
     vocabulary: dict[bytes, int] = {}
     coded = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in d), np.int32, len(d)) for d in docs]
-    grams, per = subwords(list(vocabulary))
+    parts = [subwords(list(some)) for some in batched(vocabulary, 20_000)]
+    grams, per = (np.concatenate([p[k] for p in parts]) if parts else subwords([])[k] for k in range(2))
     first = np.concatenate([[0], np.cumsum(per)[:-1]])
-    del vocabulary
+    del vocabulary, parts
     held = np.zeros(BUCKETS, np.int64)
     for c in coded:
         u = np.unique(c)
@@ -192,7 +194,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = labelled_texts(docs, sample, scratch, id_col=id_col, text_col=text_col, max_bytes=max_bytes).select("id", "toxic", "text").toArrow().sort_by("id")
     scratch.keep()
-    return fit_toxicity((pieces(t) for c in rows.column("text").chunks for b in c.to_pylist() for t in (b.encode(),)), rows.column("toxic").to_numpy().astype(np.int64))
+    return fit_toxicity((pieces(b.as_py().encode()) for b in rows.column("text")), rows.column("toxic").to_numpy().astype(np.int64))
 
 
 class WordScores(dict):
@@ -204,8 +206,8 @@ class WordScores(dict):
         if len(self) >= self.limit:
             self.clear()
         fresh = [w for w in dict.fromkeys(ws) if w not in self]
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
             grams, per = subwords(part)
             mean = np.add.reduceat(bucket[grams].astype(np.float64), np.concatenate([[0], np.cumsum(per)[:-1]])) / per
             self.update(zip(part, mean.tolist(), strict=True))
