@@ -102,4 +102,71 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN per USING (r)
 """
 
-SQL = {"op2_license_scan": OP2, "op6_secret_scan": OP6, "op7_source_mixing": OP7}
+#: Operator 4: all sets that share a shingle are compared; components by reachability among classes of equal sets.
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END)) AS g FROM w),
+k AS (SELECT *, CASE WHEN len(g) > 0 THEN md5(array_to_string(g, chr(10))) END AS c FROM s),
+classes AS (SELECT c, any_value(g) AS g, any_value(len(g)) AS n, min(doc_id) AS least FROM k WHERE c IS NOT NULL GROUP BY c),
+each AS (SELECT c, n, unnest(g) AS x FROM classes),
+pairs AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared FROM each a JOIN each b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (n + m - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(c, least) AS (SELECT c, least FROM classes UNION SELECT l.b, reach.least FROM reach JOIN both_ways l ON l.a = reach.c),
+low AS (SELECT c, min(least) AS component_id FROM reach GROUP BY c)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, CASE WHEN k.c IS NULL THEN doc_id ELSE component_id END AS component_id FROM k LEFT JOIN low ON k.c = low.c
+"""
+
+#: Operator 9: every pair of vectors.
+OP9 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE coalesce(len(e), 0) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM n a JOIN n b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(r, least) AS (SELECT r, vec_id FROM v UNION SELECT l.b, reach.least FROM reach JOIN links l ON l.a = reach.r),
+low AS (SELECT r, min(least) AS component_id FROM reach GROUP BY r),
+counted AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN low USING (r) LEFT JOIN counted USING (r)
+"""
+
+_KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+_FOUND = " UNION ALL ".join(f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS ms FROM d WHERE regexp_matches(text, '{p}')" for k, (kind, p) in enumerate((*_KINDS, ("word", r"\S*[0-9@]\S*"))))
+_AT = "(coalesce(list_sum(list_transform(gaps[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: len(x))), 0))::BIGINT"
+_DIGITS = "list_transform(list_reverse(string_split(regexp_replace(m, '[^0-9]', '', 'g'), '')), lambda x: x::INT)"
+_LUHN = "list_sum(list_transform(range(1, len(ds) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ds[i] WHEN ds[i] > 4 THEN 2 * ds[i] - 9 ELSE 2 * ds[i] END)) % 10 = 0"
+_SHORT = "CASE WHEN length({x}) <= 200 THEN lower({x}) ELSE '#' || length({x}) || ':' || md5({x}) END"
+
+
+def _round(k: int) -> str:
+    """One round: contexts by their instances' confidence, then instances by their contexts'."""
+    return f"""c{k} AS (SELECT context, sum(n * conf) / (sum(n) + 1) AS confidence FROM e{k} GROUP BY context HAVING sum(n * conf) / (sum(n) + 1) >= 0.7 AND count(*) FILTER (conf >= 0.7) >= 3),
+o{k} AS (SELECT instance, 1 - exp(sum(ln(greatest(1e-9, 1 - confidence)))) AS p FROM e{k} JOIN c{k} USING (context) GROUP BY instance),
+e{k + 1} AS (SELECT context, instance, n, seed, CASE WHEN seed THEN 1.0::DOUBLE ELSE coalesce(p, 0.0::DOUBLE) END AS conf FROM e{k} LEFT JOIN o{k} USING (instance))"""
+
+
+#: Operator 3: base spans by their patterns; contexts scored in three rounds.
+OP3 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({_FOUND}),
+one AS (SELECT r, k, kind, ms[i] AS m, {_AT} AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM hits)),
+spans AS (SELECT *, s + len(m) AS e, {_DIGITS} AS ds FROM one),
+base AS (SELECT r, k, kind, m, s, e FROM spans WHERE k = 0 OR (k = 1 AND len(list_filter(string_split(m, '.'), lambda x: x::HUGEINT > 255)) = 0) OR (k = 2 AND len(ds) BETWEEN 12 AND 19 AND {_LUHN}) OR (k = 3 AND len(ds) BETWEEN 9 AND 15)),
+bare AS (SELECT r, s AS ws, e AS we, s + length(m) - length(ltrim(m, '"''()[]{{}}<>,;:!?.*#$%&|')) AS s, trim(m, '"''()[]{{}}<>,;:!?.*#$%&|') AS m FROM spans WHERE k = 4),
+others AS (SELECT r, s, s + length(m) AS e, m FROM bare w WHERE regexp_matches(m, '[0-9@]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.we AND b.e > w.ws)),
+placed AS (SELECT r, s, e, m, true AS seed FROM base UNION ALL SELECT r, s, e, m, false FROM others),
+before AS (SELECT p.*, ' ' || substr(d.text, 1, p.s::BIGINT) AS b FROM placed p JOIN d USING (r)),
+cut AS (SELECT *, regexp_extract(b, '(\S+)?\s+(\S+)\s*$', 1) AS w1, regexp_extract(b, '(\S+)?\s+(\S+)\s*$', 2) AS w2 FROM before),
+seen AS (SELECT r, s, e, seed, {_SHORT.format(x="m")} AS instance, CASE WHEN w2 = '' THEN NULL WHEN right(w2, 1) IN (':', '=', '#') THEN {_SHORT.format(x="w2")} WHEN w1 <> '' THEN {_SHORT.format(x="w1")} || ' ' || {_SHORT.format(x="w2")} END AS context FROM cut),
+e0 AS (SELECT context, instance, count(*) AS n, bool_or(seed) AS seed, bool_or(seed)::INT::DOUBLE AS conf FROM seen WHERE context IS NOT NULL GROUP BY context, instance),
+{_round(0)}, {_round(1)}, {_round(2)},
+every AS (SELECT r, k, kind, s, e FROM base UNION ALL SELECT r, 4, 'context', s, e FROM seen WHERE NOT seed AND context IN (SELECT context FROM c2)),
+per AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)
+"""
+
+SQL = {"op2_license_scan": OP2, "op3_personal_data": OP3, "op4_ngram_jaccard": OP4, "op6_secret_scan": OP6, "op7_source_mixing": OP7, "op9_near_vectors": OP9}

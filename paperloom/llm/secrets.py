@@ -12,8 +12,9 @@ pattern. Matches are placed by the lengths of the text between them, in code
 points.
 
 Edge cases: null text counts as empty; an empty table yields an empty result;
-repeated rows are separate rows; texts are scanned whole; other input columns
-are ignored.
+repeated rows are separate rows; texts of any length are scanned whole; spans that
+start alike stand by kind, and a tie with a class's least entropy counts as a secret;
+other input columns are ignored.
 """
 
 from __future__ import annotations
