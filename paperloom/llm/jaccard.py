@@ -67,7 +67,7 @@ TABLE_BITS = 22
 #: How much larger than a prefix the share of drawn codes is; rows of one code that are held before its count is given as "many".
 DRAWN, MANY = 1.3, 100_000
 #: A leader's partners are split over salts of about so many.
-SALT_ROWS = 128
+SALT_ROWS = 32
 #: Salts of the orders: the first makes candidates, the others filter them.
 _ORDERS = (np.uint64(0), np.uint64(0xA5A5A5A5DEADBEEF), np.uint64(0x0123456789ABCDEF))
 
@@ -615,8 +615,8 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch)
 
-    scratch.keep(scanned, labels)
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    first = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    first = scratch.cut(joined.groupBy("component").agg(F.min("least").alias("component_id")), "first")
+    scratch.keep(scanned, labels, first)
     of_class = joined.select("cls", "component").join(first, "component").select("cls", "component_id")
     return members.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
