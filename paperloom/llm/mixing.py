@@ -146,7 +146,8 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     taken = scratch.cut(mixed.groupBy(F.col("tie").alias("key")).agg(F.sum("mix_copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"), "taken")
     scratch.drop(narrow)
     own = [F.col("row")[c].alias(c) for c in docs.columns]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key")).join(taken, "key")
+    # By a shuffle at every size; the numbers are hashed, so texts need not be sorted.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key")).join(taken.hint("shuffle_hash"), "key")
     share = F.col("copies")
     if not taken.filter("rows > 1").isEmpty():
         turn = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).otherwise(1)
