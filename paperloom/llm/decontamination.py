@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, utf8
+from .common import Scratch, arrow_ready, give_back, utf8
 from .textcode import WordHash, shingles, words
 
 SEED = 5
@@ -188,6 +188,8 @@ def _text_seeds(texts: DataFrame, sieve: np.ndarray, lengths: list[int]) -> Data
                     [pa.array(keys, pa.string()), pa.array(k_, pa.int32()), pa.array(np.concatenate(seeds)), pa.array(np.concatenate(places).astype(np.int64)), pa.array(parts, pa.binary())],
                     names=["key", "k", "seed", "place", "codes"],
                 )
+        known.clear()
+        give_back()
 
     return texts.mapInArrow(run, "key string, k int, seed long, place long, codes binary")
 

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, slices, utf8
+from .common import Scratch, arrow_ready, give_back, slices, utf8
 from .graph import components
 from .textcode import mixed, shingle_sets
 
@@ -142,6 +142,8 @@ def _members(texts: DataFrame, k: int, seed: int) -> DataFrame:
                     size += len(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(check, pa.int64())], names=["kind", "a", "b", "n", "check"])
         yield often()
+        del held
+        give_back()
 
     return texts.mapInArrow(run, "kind int, a long, b long, n long, check long")
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, binary_parts, extended, labelled_texts, slices, utf8
+from .common import Scratch, arrow_ready, binary_parts, extended, give_back, labelled_texts, slices, utf8
 
 BITS = 16
 MAX_ROWS = 8000
@@ -69,7 +69,7 @@ def _shares(text: bytes, ws: list[bytes]) -> tuple[float, float]:
 
 
 #: Word forms that a worker keeps, and the longest of them; others are computed each time.
-KEPT, KEPT_BYTES = 400_000, 64
+KEPT, KEPT_BYTES = 250_000, 64
 
 
 class _Features(dict):
@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, *, keep: int = KEEP_GRAD
         for batch in batches:
             texts = utf8(batch.column(at))
             score = np.zeros(len(texts))
-            for a, b in slices(list(map(len, texts)), 8 << 20):
+            for a, b in slices(list(map(len, texts)), 1 << 20):
                 cut = [t.split() for t in texts[a:b]]
                 counts = np.array([len(c) for c in cut])
                 each = np.fromiter((scalar[w] for c in cut for w in c), np.float64, int(counts.sum()))
@@ -193,6 +193,8 @@ def score_quality(docs: DataFrame, model: OrdinalModel, *, keep: int = KEEP_GRAD
                 score[a:b] = np.diff(total) / np.maximum(counts, 1) + shares @ weights[[_REPEATS, _LINES]]
             expected, above = own.grades(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(above[:, keep - 1])], names=[*columns, f"{prefix}grade", f"{prefix}tail"])
+        scalar.clear()
+        give_back()
 
     return docs.mapInArrow(run, extended(docs, f"{prefix}grade double, {prefix}tail double"))
 

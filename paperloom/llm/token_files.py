@@ -38,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, binary_column, binary_parts, ragged_take, slices, utf8
+from .common import Scratch, arrow_ready, binary_column, binary_parts, give_back, ragged_take, slices, utf8
 
 #: Bytes of encoded pieces that one worker keeps.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 #: Bytes of text encoded at once by one worker.
 SLICE_BYTES = 1 << 20
 
@@ -274,6 +274,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", t
                 keep[ends - 1] = False
                 out[keep] = ids
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts + 1), binary_column(out, np.concatenate([[0], ends]) * enc.dtype.itemsize)], names=["doc_id", "n_tokens", "ids"])
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
