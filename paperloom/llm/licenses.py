@@ -4,8 +4,8 @@ A template matches where a run of consecutive words, a quarter longer than the
 template and on any lines, holds at least ``threshold`` of its distinct words and
 those of its words that tell licenses apart (``telling``).
 Blocks are overlapping stretches of the text's words, such that every run lies in
-one of them. Template words are ordered by how many texts of a sample hold them,
-rarest first (any order gives the same result), and a template's prefix is the
+one of them. Template words are ordered by how many texts of the whole table hold
+them, rarest first (any order gives the same result), and a template's prefix is the
 words of which a match must hold one (``|T| - need + 1``); only blocks with such a
 word are kept. Candidates come from an equi-join of block words with prefix words,
 pruned by length (the block has ``need`` template words at least) and by position
@@ -65,8 +65,6 @@ TEMPLATES = (
 THRESHOLD = 0.8
 #: Words that tell licenses apart: a template that has one matches only where it is.
 TELLING = ("affero", "apache", "by", "cc", "general", "gnu", "lesser", "mit", "mozilla", "nc", "sa")
-#: One text in so many is counted for the order of words.
-SAMPLE = 16
 
 #: What separates words, before and after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -109,6 +107,20 @@ def run_length(template: str) -> int:
     return n + max(2, n // 4)
 
 
+def split_words(text: Column) -> Column:
+    """Words of a text; an empty one stands before a first or after a last gap."""
+    # Only A to Z count as capitals: the two other signs whose small letter is in a to z keep apart.
+    plain = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u01c0")), F.lit("\u0130"), F.lit("\u01c0"))
+    return F.split(F.lower(plain), f"{GAP}+")
+
+
+def texts_holding(rows: DataFrame, text: Column, vocabulary: Sequence[str]) -> dict[str, int]:
+    """How many of all texts hold each of the words; words that none holds are left out."""
+    held = F.array_intersect(split_words(text), F.array(*(F.lit(w) for w in vocabulary)))
+    counted = rows.select(F.explode(held).alias("w")).groupBy("w").count().collect()  # a row for each template word at most
+    return {r["w"]: r["count"] for r in counted}
+
+
 def scan_licenses(
     docs: DataFrame,
     *,
@@ -132,13 +144,8 @@ def scan_licenses(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     # The quick pattern only spares texts the full one; what counts are real places.
     rows = rows.withColumn("_hits", F.when(F.regexp_like(text, F.lit(quick)), F.regexp_count(text, F.lit(f"(?i){_any_run(phrases)}"))).otherwise(0))
-    # Only A to Z count as capitals: the two other signs whose small letter is in a to z keep apart.
-    plain = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u01c0")), F.lit("\u0130"), F.lit("\u01c0"))
-    cut = F.split(F.lower(plain), f"{GAP}+")
-    held = F.array_intersect(cut, F.array(*(F.lit(w) for w in vocabulary)))
-    sampled = rows.filter(F.pmod(F.xxhash64("_text"), F.lit(SAMPLE)) == 0)
-    counted = sampled.select(F.explode(held).alias("w")).groupBy("w").count().collect()  # a row for each template word at most
-    often = {r["w"]: r["count"] for r in counted}
+    cut = split_words(text)
+    often = texts_holding(rows, text, vocabulary)
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 

@@ -323,3 +323,46 @@ def test_licenses_that_only_begin_alike(spark, frame):
     r = licenses.scan_licenses(frame(texts)).orderBy("doc_id").collect()
     assert [(x.n_base, x.first_word, x.last_word) for x in r] == [(0, None, None)] * 4 + [(1, 0, 0), (1, 1, 1), (0, None, None), (0, None, None)]
     assert r[7].labels == ""
+
+
+def test_licenses_order_words_by_all_texts(spark, frame, monkeypatch):
+    texts = [None, "", "AA aa", "x-aa.bb", "x-aa.bb", "aa bb cc", "aa bb cc dd", "aaK bbİ aab"]
+    assert licenses.texts_holding(frame(texts), F.col("text"), ["aa", "bb", "cc", "dd", "ee"]) == {"aa": 5, "bb": 4, "cc": 2, "dd": 1}
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    r = licenses.scan_licenses(frame(texts), templates=[("all", "aa bb cc dd")], telling=("aa", "bb", "cc", "dd")).orderBy("doc_id").collect()
+    assert [x.labels for x in r] == ["", "", "", "", "", "", "all", ""]
+    assert list(sent[0].first().telling) == [3, 2, 1, 0]  # the places of aa, bb, cc, dd, rarest first
+
+
+def test_licenses_are_the_same_under_any_order(spark, frame, monkeypatch):
+    rng = random.Random(3)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    texts = []
+    for _, t in licenses.TEMPLATES * 8:
+        run = [w for w in t.split() if rng.random() < 0.93]
+        for _ in range(rng.randint(0, 4)):
+            run.insert(rng.randint(0, len(run)), rng.choice([*words, "other"]))
+        texts.append(" ".join([*rng.choices([*words, "other"], k=rng.randint(0, 60)), *run, *rng.choices(words, k=rng.randint(0, 60))]))
+
+    def brute(text):
+        ws, labels, best = text.split(), set(), 0
+        for label, t in licenses.TEMPLATES:
+            own, n = set(t.split()), licenses.run_length(t)
+            held = [set(ws[i : i + n]) & own for i in range(len(ws))]
+            most = max((len(h) for h in held if own & set(licenses.TELLING) <= h), default=0)
+            if most >= 0.8 * len(own):
+                labels.add(label)
+                best = max(best, most / len(own))
+        for p, label in licenses.PHRASES:
+            if f" {p} " in f" {text} ":
+                labels.add(label)
+                best = 1
+        return ",".join(sorted(labels)), best
+
+    want = [brute(t) for t in texts]
+    assert len({w for w, _ in want}) > 12
+    for order in (words, words[::-1], rng.sample(words, len(words))):
+        monkeypatch.setattr(licenses, "texts_holding", lambda *_, o=order: {w: n for n, w in enumerate(o)})
+        r = licenses.scan_licenses(frame(texts)).orderBy("doc_id").collect()
+        assert [(x.labels, x.score) for x in r] == want
